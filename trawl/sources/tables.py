@@ -53,8 +53,10 @@ def crawl_log_from_events(events: DataFrame) -> DataFrame:
         F.when(et == "error", F.lit("HTTP 500")).alias("error_message"),
         F.col("props").alias("metadata"),
         F.col("ts"),
+        F.lit(None).cast("string").alias("markdown"),
         F.concat(F.lit("f"), F.col("event_id").cast("string"), F.lit("."), et).alias("file_name"),
         F.when(et == "signup", F.lit(None).cast("string")).otherwise(et).alias("file_type"),
+        F.lit(None).cast("string").alias("content_type"),
         F.floor(F.col("value")).cast("long").alias("size"),
         F.col("event_id"),
     )
@@ -66,9 +68,10 @@ def crawl_log_sql(events: str = "events") -> str:
 select concat('https://s', cast(user_id % 7 as varchar), '.example.com/u/', cast(user_id as varchar)) as url,
        case when event_type = 'error' then false when event_type = 'signup' then null else true end as success,
        case when event_type = 'error' then 'HTTP 500' end as error_message,
-       props as metadata, ts,
+       props as metadata, ts, cast(null as varchar) as markdown,
        concat('f', cast(event_id as varchar), '.', event_type) as file_name,
        case when event_type = 'signup' then null else event_type end as file_type,
+       cast(null as varchar) as content_type,
        cast(floor(value) as bigint) as size,
        event_id
 from {events}"""
