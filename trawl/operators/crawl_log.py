@@ -210,10 +210,12 @@ def stats_report(log: DataFrame, as_of) -> DataFrame:
 
 
 def saved_content_counts(assets: DataFrame, type_col: str = "file_type") -> DataFrame:
-    """Saved files per content type, the four fixed types always present."""
+    """Saved files per content type, the four fixed types always present
+    (asset type ``image`` counts as ``images``)."""
     spark = assets.sparkSession
     fixed = spark.createDataFrame([(t,) for t in SAVED_CONTENT_TYPES], "content string")
-    counts = assets.groupBy(F.col(type_col).alias("content")).agg(F.count("*").alias("saved"))
+    name = F.when(F.col(type_col) == "image", F.lit("images")).otherwise(F.col(type_col))
+    counts = assets.groupBy(name.alias("content")).agg(F.count("*").alias("saved"))
     return fixed.join(counts, "content", "left") \
         .select("content", F.coalesce("saved", F.lit(0)).cast("long").alias("saved"))
 
