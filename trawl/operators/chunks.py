@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trawl.operators.util import spread
+
 # Separators tried in order for the 'markdown' format
 # (headings, code fences, horizontal rules, paragraphs, lines, words, characters).
 MARKDOWN_SEPARATORS = [r"\n#{1,6} ", r"```\n", r"\n\*\*\*+\n", r"\n---+\n", r"\n___+\n",
@@ -136,7 +138,7 @@ def chunk_documents(docs: DataFrame, size: int = 5000, overlap: int = 500, key:
                                 "chunk_number": pd.Series(nums, dtype="int32"),
                                 "chunk_text": pd.Series(texts, dtype=object)})
 
-    return docs.select(key, text).where(F.col(text).isNotNull()).mapInPandas(run, out_schema)
+    return spread(docs.select(key, text).where(F.col(text).isNotNull())).mapInPandas(run, out_schema)
 
 
 def chunk_with_prefix(chunks: DataFrame, name_col: str, text_col: str = "chunk_text") -> DataFrame:

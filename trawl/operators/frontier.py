@@ -5,9 +5,9 @@ walks the link graph breadth first.  Here both sets are DataFrames; one
 round of the walk is a join of the frontier with the edge table (C8), the
 same-domain filter (B7), a ``distinct`` and an anti join with what is
 already discovered (C3).  The loop runs at most ``max_depth`` rounds; each
-round's state is cut from its lineage with a reliable ``checkpoint()``
-into the shared ``spark.checkpoint.dir``, so a lost executor costs one
-round, not the whole walk.
+round's new URLs are written as a parquet table into the shared
+``spark.checkpoint.dir`` and read back, which cuts the lineage, so a lost
+executor costs at most one round, not the whole walk.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.functions.urls import authority, is_same_domain, normalize_url
-from trawl.session import checkpoint_dir
+from trawl.session import checkpoint_dir, materialize
+
+BROADCAST_ROWS = 2_000_000       # frontier rows broadcast to the edge scan
 
 
 def url_set(df: DataFrame, col: str = "url") -> DataFrame:
@@ -44,7 +46,7 @@ def pending_urls(discovered: DataFrame, processed: DataFrame) -> DataFrame:
 
 def discover(edges: DataFrame, seeds: DataFrame, base: str | None = None, max_depth: int = 3,
              pages: DataFrame | None = None, src="src", dst="dst",
-             num_partitions: int | None = None) -> DataFrame:
+             broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Breadth-first discovery from ``seeds`` over ``edges``.
 
     ``seeds``: one column ``url`` (sitemap URLs and the base URL, already
@@ -53,39 +55,47 @@ def discover(edges: DataFrame, seeds: DataFrame, base: str | None = None, max_de
     fetched (default: every ``src`` of ``edges``); a frontier URL outside it
     is an error node and is not processed.
 
+    Each round joins the frontier with the edge table.  The frontier's row
+    count is known (it was just written); up to ``broadcast_rows`` it is
+    broadcast, so the edge table is scanned in place and never shuffled;
+    beyond that Spark shuffles both sides on the URL.
+
     Returns ``(url, depth, processed, error)``: depth of first discovery;
     URLs found in the last round are discovered but pending.
     """
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    e = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where(F.col("dst").isNotNull())
-    if base is not None:
-        e = e.where(is_same_domain("dst", F.lit(base)))
-    # edges hash-partitioned by src once; checkpoint keeps that partitioning,
-    # so the per-round joins only shuffle the (small) frontier
-    e = e.distinct().repartition(n, "src").checkpoint()
-    fetchable = (url_set(pages) if pages is not None else e.select(F.col("src").alias("url")).distinct())
-    fetchable = fetchable.repartition(n, "url").checkpoint()
-
-    disc = url_set(seeds).withColumn("depth", F.lit(0)).repartition(n, "url").checkpoint()
-    frontier = disc
+    checkpoint_dir(edges.sparkSession)
+    # duplicates are harmless (each round's targets are de-duplicated), so
+    # the edge table is written as it comes, without a shuffle
+    e = materialize(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
+                    .where(F.col("dst").isNotNull()), "bfs-edges")
+    if pages is not None:
+        fetchable = materialize(url_set(pages), "bfs-pages")
+    else:   # every source of an edge is a page; a URL without out-edges finds nothing
+        fetchable = None
+
+    disc = materialize(url_set(seeds).withColumn("depth", F.lit(0)), "bfs-depth0")
+    frontier, n_front = disc, disc.count()
     depth = 0
     while depth < max_depth:
-        fr = frontier.select("url").join(fetchable, "url", "left_semi")
-        nxt = (fr.join(e, fr["url"] == e["src"]).select(F.col("dst").alias("url"))
-               .distinct()
-               .join(disc.select("url"), "url", "left_anti")
-               .withColumn("depth", F.lit(depth + 1))
-               .repartition(n, "url").checkpoint())
-        if nxt.isEmpty():
-            depth += 1
+        fr = frontier.select("url")
+        if fetchable is not None:
+            fr = fr.join(fetchable, "url", "left_semi")
+        if n_front <= broadcast_rows:
+            fr = F.broadcast(fr)
+        cand = e.join(fr, e["src"] == fr["url"]).select(F.col("dst").alias("url")).distinct()
+        if base is not None:       # B7 on each distinct target once, not on every edge
+            cand = cand.where(is_same_domain("url", F.lit(base)))
+        nxt = materialize(cand.join(disc.select("url"), "url", "left_anti")
+                          .withColumn("depth", F.lit(depth + 1)), f"bfs-depth{depth + 1}")
+        depth += 1
+        n_front = nxt.count()          # parquet footer count
+        if n_front == 0:
             break
-        disc = disc.unionByName(nxt).repartition(n, "url").checkpoint()
+        disc = disc.unionByName(nxt)   # union of written pieces: short lineage
         frontier = nxt
-        depth += 1
     rounds = depth
+    if fetchable is None:
+        fetchable = e.select(F.col("src").alias("url")).distinct()
     is_page = fetchable.withColumn("_ok", F.lit(True))
     return (disc.join(is_page, "url", "left")
             .select("url", "depth",

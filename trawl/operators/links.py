@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.functions.urls import authority, is_same_domain, normalize_url, usable_href
+from trawl.operators.util import spread
 
 RAW_LINKS = T.StructType([
     T.StructField("page_id", T.LongType()),
@@ -81,7 +82,7 @@ def raw_links(pages: DataFrame, id_col="page_id", url_col="url", html_col="html"
     row with ``error`` set for a page without content or that fails to parse."""
     src = pages.select(F.col(id_col).cast("long").alias("page_id"),
                        F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return src.mapInPandas(_extract, RAW_LINKS)
+    return spread(src).mapInPandas(_extract, RAW_LINKS)
 
 
 def links_from_raw(raw: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trawl.operators.util import spread
+
 # Tags whose content is not page text.
 EXCLUDED_TAGS = ["form", "header", "footer", "nav"]
 ALWAYS_DROPPED = ["script", "style", "noscript", "template"]
@@ -85,4 +87,4 @@ def page_text(pages: DataFrame, excluded_tags=None) -> DataFrame:
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "error": errs})
 
     src = pages.select(F.col("page_id").cast("long"), "url", "html")
-    return src.mapInPandas(run, _OUT)
+    return spread(src).mapInPandas(run, _OUT)

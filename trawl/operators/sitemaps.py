@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from trawl.functions.urls import authority, is_same_domain, normalize_url
 from trawl.operators import frontier
 from trawl.operators.links import anchors
+from trawl.operators.util import spread
+from trawl.session import checkpoint_dir, materialize
 
 # Well-known sitemap paths, robots.txt rule, sitemap namespace.
 WELL_KNOWN = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml",
@@ -84,7 +86,7 @@ def sitemap_locs(docs: DataFrame, base=None) -> DataFrame:
     when in the base domain (default: the sitemap's own authority).  A
     document that does not parse gives one row with ``error`` set."""
     ok = docs.where(F.col("status") == 200).select("url", "content", "is_xml")
-    parsed = ok.mapInPandas(_parse, _LOCS)
+    parsed = spread(ok).mapInPandas(_parse, _LOCS)
     b = F.lower(authority("url")) if base is None else (F.lit(base) if isinstance(base, str) else base)
     keep = F.col("error").isNotNull() | (F.col("kind") == "xml") | is_same_domain("loc", b)
     return parsed.where(keep)
@@ -95,8 +97,9 @@ def expand_sitemaps(docs: DataFrame, roots: DataFrame, max_rounds: int = 10, bas
     ``url``); every found loc that is itself a fetched document is followed
     again, at most ``max_rounds`` deep, each sitemap once.  Returns the
     distinct normalised URLs (NULL ones dropped)."""
-    edges = sitemap_locs(docs, base).where(F.col("error").isNull()) \
-        .select(F.col("url").alias("src"), F.col("loc").alias("dst"))
+    checkpoint_dir(docs.sparkSession)
+    edges = materialize(sitemap_locs(docs, base).where(F.col("error").isNull())
+                        .select(F.col("url").alias("src"), F.col("loc").alias("dst")), "sitemap-edges")
     fetched = docs.where(F.col("status") == 200).select("url")
     walk = frontier.discover(edges, roots.select("url"), None, max_rounds, pages=fetched)
     reached = walk.where("processed").select(F.col("url").alias("src"))

@@ -61,3 +61,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path inside the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as parquet into the shared checkpoint
+    folder and reading it back.  Survives the loss of any executor (the
+    files live in shared storage), and is much cheaper than an RDD
+    checkpoint of row objects."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
