@@ -138,3 +138,14 @@ def url_stats(discovered: DataFrame, processed: DataFrame | None = None,
         agg = agg.withColumn("elapsed_seconds", F.lit(None).cast("double")) \
                  .withColumn("urls_per_second", F.lit(None).cast("double"))
     return agg
+
+
+def fetch_stats(fetch_log: DataFrame, duration_col: str = "duration", outcome_col: str = "outcome") -> DataFrame:
+    """Requests, average fetch time (0 when there are none), errors and
+    timeouts over a fetch log ``(url, duration, outcome)``."""
+    n = F.count("*")
+    return fetch_log.agg(
+        n.alias("total_requests"),
+        F.coalesce(F.avg(duration_col), F.lit(0.0)).alias("avg_fetch_time"),
+        F.count_if(F.col(outcome_col) == "error").alias("errors"),
+        F.count_if(F.col(outcome_col) == "timeout").alias("timeouts"))

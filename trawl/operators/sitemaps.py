@@ -31,6 +31,12 @@ ROBOTS_RX = r"(?i)Sitemap:\s*(\S+)"
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 
 
+def is_xml_content(content_type) -> F.Column:
+    """A response is treated as XML when its content type mentions xml."""
+    c = F.col(content_type) if isinstance(content_type, str) else content_type
+    return F.coalesce(F.lower(c).contains("xml"), F.lit(False))
+
+
 def sitemap_candidates(sites: DataFrame, docs: DataFrame | None = None, site_col: str = "site") -> DataFrame:
     """Per site root ``scheme://authority``: the five well-known paths,
     plus every ``Sitemap:`` line of its robots.txt (relative ones joined to

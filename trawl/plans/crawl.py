@@ -199,3 +199,38 @@ from u""")
 def q_with_batches(spark, sf_dir):
     """Batches of 10 URLs, numbered per domain."""
     return C.with_batches(C.cached_urls(_log(spark, sf_dir)), "url", 10, per="domain")
+
+
+FETCH = """fetches as (select concat('https://s', cast(user_id % 7 as varchar), '.example.com/u/', cast(user_id as varchar)) as url,
+       value / 100.0 as duration,
+       case event_type when 'error' then 'error' when 'signup' then 'timeout' else 'ok' end as outcome from events)"""
+
+
+def _fetch_log(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    return ev.select(
+        F.concat(F.lit("https://s"), (F.col("user_id") % 7).cast("string"), F.lit(".example.com/u/"),
+                 F.col("user_id").cast("string")).alias("url"),
+        (F.col("value") / 100.0).alias("duration"),
+        F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "timeout")
+         .otherwise("ok").alias("outcome"))
+
+
+@query("fetch_stats", oracle=f"""
+with {FETCH}
+select count(*) as total_requests, coalesce(avg(duration), 0.0) as avg_fetch_time,
+       count_if(outcome = 'error') as errors, count_if(outcome = 'timeout') as timeouts from fetches""")
+def q_fetch_stats(spark, sf_dir):
+    """Requests, average fetch time, errors, timeouts of a fetch log (from events)."""
+    from trawl.operators.frontier import fetch_stats
+    return fetch_stats(_fetch_log(spark, sf_dir))
+
+
+@query("urls_in_list", oracle=f"""
+with {LOG}, {LATEST}
+select event_id, url from log where url in (select url from latest where not coalesce(success, false))""")
+def q_urls_in_list(spark, sf_dir):
+    """C1 + B5: log rows whose URL is in a URL table (URLs whose latest crawl failed)."""
+    log = _log(spark, sf_dir)
+    failed = C.crawl_errors(C.latest_per_url(log)).select("url")
+    return log.join(failed, "url", "left_semi").select("event_id", "url")

@@ -104,3 +104,37 @@ def q_write_assets(spark, sf_dir):
     back = spark.read.parquet(path)
     return back.groupBy("domain", "file_type").agg(
         F.count("*").alias("files"), F.sum(F.octet_length("payload")).cast("long").alias("bytes"))
+
+
+@query("append_crawl_log", oracle=f"""
+select '{DOC_URL}' || cast(doc_id as varchar) as url, true as success,
+       case when lang = 'en' then text else '# ' || text end as markdown,
+       cast(3 as integer) as n_media, cast(0 as integer) as n_links
+from documents""")
+def q_append_crawl_log(spark, sf_dir):
+    """A2 + T5 + H16: crawl results appended to a log table in two appends, read back."""
+    from trawl.operators.crawl_log import append_crawl_log
+    path = scratch_path(spark, "crawl-log")
+    res = _results(spark, sf_dir)
+    append_crawl_log(res.where(F.col("raw_markdown").isNotNull()), path, "2024-02-01 00:00:00")
+    append_crawl_log(res.where(F.col("raw_markdown").isNull()), path, "2024-02-01 00:00:00")
+    log = spark.read.parquet(path)
+    return log.select("url", "success", "markdown",
+                      F.json_array_length(F.get_json_object("metadata", "$.MEDIA")).alias("n_media"),
+                      F.json_array_length(F.get_json_object("metadata", "$.LINKS")).alias("n_links"))
+
+
+@query("append_documents", oracle=f"""
+select '{DOC_URL}' || cast(doc_id as varchar) as source_id, text as contents from documents
+union all
+select '{DOC_URL}' || cast(doc_id as varchar), text from documents where lang = 'en'""")
+def q_append_documents(spark, sf_dir):
+    """A4: documents appended in bulk (all, then the English ones again), read back."""
+    from trawl.operators.crawl_log import append_documents
+    path = scratch_path(spark, "documents")
+    d = read_table(spark, sf_dir, "documents").select(
+        F.concat(F.lit(DOC_URL), F.col("doc_id").cast("string")).alias("source_id"),
+        F.col("text").alias("contents"), "lang")
+    append_documents(d, path)
+    append_documents(d.where(F.col("lang") == "en"), path)
+    return spark.read.parquet(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trawl.functions.vectors import as_vector
 from trawl.operators import chunks as CH
 from trawl.operators import embed as E
 from trawl.operators import rag as RG
@@ -275,7 +276,7 @@ def q_top_chunks(spark, sf_dir):
 def q_similar_chunks_expr(spark, sf_dir):
     """C5 + H19: the same top-3 as a broadcast join with the cosine as a SQL expression."""
     emb = _emb(spark, sf_dir)
-    qv = emb.where(F.col("vec_id") == 0).select(F.col("embedding").alias("qvec"))
+    qv = emb.where(F.col("vec_id") == 0).select(as_vector("embedding", 64).alias("qvec"))
     r = RT.similar_chunks_sql(emb, qv, 3, None, key_cols=("vec_id",), vector_col="embedding")
     return r.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
@@ -297,3 +298,26 @@ def q_relevant_chunks(spark, sf_dir):
     qv = E.embed(b.select(F.col("item_id").alias("q_id"), "text"), "text", dim=DIM, out_col="qvec")
     return RT.relevant_chunks(_embedded_chunks(spark, sf_dir), qv.select("q_id", "qvec"), 5,
                               decimals=6, key_cols=("doc_id", "chunk_number"))
+
+
+@query("cosine_sql", oracle=_TOP3)
+def q_cosine_sql(spark, sf_dir):
+    """H19 for SQL users: the registered ``cosine_similarity`` SQL function."""
+    from trawl.functions.sql import register
+    register(spark)
+    _emb(spark, sf_dir).createOrReplaceTempView("trawl_embeddings")
+    return spark.sql("""
+        select vec_id, round(sim, 6) as similarity from (
+          select e.vec_id, cosine_similarity(e.embedding, q.embedding) as sim
+          from trawl_embeddings e cross join (select embedding from trawl_embeddings where vec_id = 0) q) s
+        order by round(sim, 9) desc, vec_id limit 3""")
+
+
+@query("chunk_text_udtf")
+def q_chunk_text_udtf(spark, sf_dir):
+    """T7 for SQL users: the ``chunk_text`` table function over every document."""
+    from trawl.functions.sql import register
+    register(spark)
+    _docs(spark, sf_dir).createOrReplaceTempView("trawl_documents")
+    return spark.sql("select d.doc_id, c.chunk_number, c.chunk_text "
+                     "from trawl_documents d, lateral chunk_text(d.text, 5000, 500) c")

@@ -15,7 +15,8 @@ from trawl.functions.urls import authority, normalize_url
 from trawl.operators import sitemaps as SM
 from trawl.plans import sqltext as S
 from trawl.plans.registry import query
-from trawl.sources.tables import read_table
+from trawl.session import scratch_path
+from trawl.sources.tables import read_sitemaps, read_table
 
 URLS_PER_FILE = 50_000
 NS = SM.SITEMAP_NS
@@ -44,12 +45,14 @@ def sitemap_docs(pages):
                  F.array_join(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.concat(
                      F.lit("<sitemap><loc>"), site, F.lit("/sitemap-"), i.cast("string"), F.lit(".xml</loc></sitemap>"))), ""),
                  F.lit("</sitemapindex>")).alias("content"))
-    xml = urlset_docs.unionByName(index_docs).withColumn("is_xml", F.lit(True))
+    xml = urlset_docs.unionByName(index_docs).withColumn("content_type", F.lit("application/xml; charset=utf-8"))
     robots = parts.select(F.concat(site, F.lit("/robots.txt")).alias("url"),
                           F.concat(F.lit("User-agent: *\nDisallow: /private\nsitemap: "), site,
                                    F.lit("/sitemap_index.xml\n")).alias("content"),
-                          F.lit(False).alias("is_xml"))
-    return xml.unionByName(robots).withColumn("status", F.lit(200))
+                          F.lit("text/plain").alias("content_type"))
+    docs = xml.unionByName(robots)
+    return docs.select("url", "content", SM.is_xml_content("content_type").alias("is_xml"),
+                       F.lit(200).alias("status"))
 
 
 def _docs(spark, sf_dir):
@@ -84,8 +87,11 @@ union all
 select 'https://' || lower({S.authority('url')}) || '/sitemap-' || cast(page_id % cast(ceil(n / {URLS_PER_FILE}) as integer) as varchar) || '.xml', url
 from pages join hosts on lower({S.authority('url')}) = host""")
 def q_sitemap_locs(spark, sf_dir):
-    """Every <loc> of every sitemap index and url set."""
-    return SM.sitemap_locs(_docs(spark, sf_dir)).select("url", "loc")
+    """T10 + A7: sitemap documents stored as a table, read back with the
+    fixed schema, every <loc> of every sitemap index and url set."""
+    path = scratch_path(spark, "sitemaps")
+    _docs(spark, sf_dir).write.parquet(path)
+    return SM.sitemap_locs(read_sitemaps(spark, path)).select("url", "loc")
 
 
 @query("expand_sitemaps", headline=True, oracle=f"""

@@ -201,3 +201,23 @@ def q_url_stats(spark, sf_dir):
     seeds = spark.createDataFrame([(GRAPH_SEED,)], "url string")
     d = frontier.discover(g, seeds, GRAPH_DOMAIN, 3)
     return frontier.url_stats(d).select("total_discovered", "total_processed", "pending", "domains")
+
+
+@query("external_links", oracle=f"""
+{_links_sql().replace('select * from l where dst is not null', '')}
+select page_id, dst from l where dst is not null and not {S.is_same_domain('dst', "'" + BASE_DOMAIN + "'")}""")
+def q_external_links(spark, sf_dir):
+    """Extracted links minus same-domain ones."""
+    return links.external_links(links.extract_links(_pages(spark, sf_dir)), BASE_DOMAIN).select("page_id", "dst")
+
+
+@query("mark_processed", oracle=f"""
+{_bfs_sql()}
+select url from d""")
+def q_mark_processed(spark, sf_dir):
+    """The processed set after marking the pending URLs as processed."""
+    g = link_graph_from_lineitem(read_table(spark, sf_dir, "lineitem"))
+    seeds = spark.createDataFrame([(GRAPH_SEED,)], "url string")
+    d = frontier.discover(g, seeds, GRAPH_DOMAIN, 3)
+    processed = d.where("processed").select("url")
+    return frontier.mark_processed(processed, frontier.pending_urls(d.select("url"), processed))
