@@ -30,7 +30,7 @@ def _covered(text, chunks):
         assert i >= 0, "chunk is not a substring in order"
         for j in range(i, i + len(c)):
             cover[j] = True
-        start, end = i + 1, i + len(c)
+        start, end = i, i + len(c)
     return all(cover[i] or text[i].isspace() for i in range(len(text)))
 
 

@@ -123,7 +123,9 @@ select doc_id, {_bucket('tok')} as bucket, count(*) as cnt from tok group by all
 def q_embed(spark, sf_dir):
     """Token-hash vectors of every document, as non-zero (bucket, count) pairs."""
     v = E.embed(_docs(spark, sf_dir).select("doc_id", "text"), "text", dim=DIM)
-    ex = v.select("doc_id", F.posexplode("vector").alias("bucket", "cnt"))
+    # posexplode_outer: a plain posexplode makes Catalyst infer size(vector) > 0
+    # and push that filter below the repartition, evaluating the embedder twice
+    ex = v.select("doc_id", F.posexplode_outer("vector").alias("bucket", "cnt"))
     return ex.where(F.col("cnt") > 0).select("doc_id", F.col("bucket").cast("long").alias("bucket"),
                                              F.col("cnt").cast("long").alias("cnt"))
 
