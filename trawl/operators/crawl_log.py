@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trawl import schemas
 from trawl.functions.urls import authority
+from trawl.session import checkpoint_dir, materialize
 
 # Result labels, default error text and content types.
 STATUS_OK = "✅ Success"
@@ -68,8 +69,10 @@ def merge_file_metadata(target: DataFrame, updates: DataFrame, as_of) -> DataFra
     shuffled for the insert test.
     """
     cols = ["file_name", "file_type", "content_type", "size", "metadata"]
+    checkpoint_dir(target.sparkSession)
+    updates = materialize(updates.select("url", *cols), "upsert-source")   # computed once
     u = updates.select("url", *[F.col(c).alias("_u_" + c) for c in cols]).withColumn("_hit", F.lit(True))
-    if updates.count() <= BROADCAST_ROWS:
+    if updates.count() <= BROADCAST_ROWS:       # parquet footer count
         u = F.broadcast(u)
     ts = F.lit(as_of).cast("timestamp_ntz")
     matched = target.join(u, "url", "left")

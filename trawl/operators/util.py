@@ -14,7 +14,17 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     cores (one file with one row group, say) is spread round-robin, which
     costs one shuffle of that small input.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    # With adaptive execution on, asking an adaptive plan for its partitions
+    # runs its shuffle stages; the static plan answers without running anything.
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        have = df.rdd.getNumPartitions()
+    finally:
+        spark.conf.set(key, before)
+    if have >= want:
         return df
     return df.repartition(want)
