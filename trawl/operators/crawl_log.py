@@ -201,14 +201,25 @@ def file_stats(log: DataFrame) -> DataFrame:
 
 
 def stats_report(log: DataFrame, as_of) -> DataFrame:
-    """D3 + A6 + H20: one row ``{crawl_stats, file_stats, last_update}`` as JSON."""
-    c = crawl_stats(log)
-    f = file_stats(log).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-        F.col("file_type"), F.struct(F.col("count"), F.col("total_size")))))).alias("file_stats"))
+    """D3 + A6 + H20: one row ``{crawl_stats, file_stats, last_update}`` as JSON.
+
+    One pass: aggregate per file type (combined map-side), then fold the
+    few per-type rows into the document - no join between the two parts.
+    """
+    per_type = log.groupBy("file_type").agg(
+        F.count("*").alias("n"), F.sum("size").alias("total_size"),
+        F.count_if(F.col("success")).alias("ok"), F.count_if(~F.col("success")).alias("bad"))
+    typed = F.when(F.col("file_type").isNotNull(), F.struct(
+        F.col("file_type"), F.struct(F.col("n").alias("count"), F.col("total_size"))))
+    one = per_type.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_urls"),
+        F.coalesce(F.sum("ok"), F.lit(0)).cast("long").alias("successful_urls"),
+        F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("failed_urls"),
+        F.map_from_entries(F.array_sort(F.collect_list(typed))).alias("file_stats"))
     stamp = F.date_format(F.lit(as_of).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
-    return c.crossJoin(f).select(
+    return one.select(
         F.to_json(F.struct("total_urls", "successful_urls", "failed_urls")).alias("crawl_stats"),
-        F.to_json(F.coalesce("file_stats", F.create_map().cast("map<string,struct<count:bigint,total_size:bigint>>"))).alias("file_stats"),
+        F.to_json("file_stats").alias("file_stats"),
         stamp.alias("last_update"))
 
 

@@ -37,7 +37,7 @@ def _results(spark, sf_dir):
 
 @query("crawl_stats", headline=True, oracle=f"""
 with {LOG}
-select count(*) as total_urls, count_if(success) as successful_urls, count_if(not success) as failed_urls from log""")
+select count(*) as total_urls, cast(count_if(success) as bigint) as successful_urls, cast(count_if(not success) as bigint) as failed_urls from log""")
 def q_crawl_stats(spark, sf_dir):
     """Total / successful / failed rows."""
     return C.crawl_stats(_log(spark, sf_dir))
@@ -45,7 +45,7 @@ def q_crawl_stats(spark, sf_dir):
 
 @query("upper_columns", oracle=f"""
 with {LOG}
-select count(*) as TOTAL_URLS, count_if(success) as SUCCESSFUL_URLS, count_if(not success) as FAILED_URLS from log""")
+select count(*) as TOTAL_URLS, cast(count_if(success) as bigint) as SUCCESSFUL_URLS, cast(count_if(not success) as bigint) as FAILED_URLS from log""")
 def q_upper_columns(spark, sf_dir):
     """Crawl statistics with upper-case column names."""
     return C.upper_columns(C.crawl_stats(_log(spark, sf_dir)))
@@ -62,7 +62,7 @@ def q_file_stats(spark, sf_dir):
 
 @query("stats_report", oracle=f"""
 with {LOG},
-c as (select count(*) as total_urls, count_if(success) as successful_urls, count_if(not success) as failed_urls from log),
+c as (select count(*) as total_urls, cast(count_if(success) as bigint) as successful_urls, cast(count_if(not success) as bigint) as failed_urls from log),
 f as (select file_type, count(*) as count, cast(sum(size) as bigint) as total_size
       from log where file_type is not null group by file_type),
 fj as (select '{{' || coalesce(string_agg('"' || file_type || '":{{"count":' || count || ',"total_size":' || total_size || '}}', ',' order by file_type), '') || '}}' as file_stats from f)
@@ -153,7 +153,7 @@ def q_crawl_summary(spark, sf_dir):
 
 @query("crawl_metrics", oracle=f"""
 with {LOG}
-select count_if(success) as successful, count_if(not success) as failed, cast(0 as bigint) as skipped,
+select cast(count_if(success) as bigint) as successful, cast(count_if(not success) as bigint) as failed, cast(0 as bigint) as skipped,
        cast(case when count(*) > 0 then (count(*) - 1) // 10 + 1 else 0 end as bigint) as total_batches,
        (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as duration,
        case when (epoch_us(max(ts)) - epoch_us(min(ts))) > 0
@@ -219,7 +219,7 @@ def _fetch_log(spark, sf_dir):
 @query("fetch_stats", oracle=f"""
 with {FETCH}
 select count(*) as total_requests, coalesce(avg(duration), 0.0) as avg_fetch_time,
-       count_if(outcome = 'error') as errors, count_if(outcome = 'timeout') as timeouts from fetches""")
+       cast(count_if(outcome = 'error') as bigint) as errors, cast(count_if(outcome = 'timeout') as bigint) as timeouts from fetches""")
 def q_fetch_stats(spark, sf_dir):
     """Requests, average fetch time, errors, timeouts of a fetch log (from events)."""
     from trawl.operators.frontier import fetch_stats
