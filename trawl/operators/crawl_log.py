@@ -72,7 +72,8 @@ def merge_file_metadata(target: DataFrame, updates: DataFrame, as_of) -> DataFra
     checkpoint_dir(target.sparkSession)
     updates = materialize(updates.select("url", *cols), "upsert-source")   # computed once
     u = updates.select("url", *[F.col(c).alias("_u_" + c) for c in cols]).withColumn("_hit", F.lit(True))
-    if updates.count() <= BROADCAST_ROWS:       # parquet footer count
+    small = updates.count() <= BROADCAST_ROWS   # parquet footer count
+    if small:
         u = F.broadcast(u)
     ts = F.lit(as_of).cast("timestamp_ntz")
     matched = target.join(u, "url", "left")
@@ -81,7 +82,13 @@ def merge_file_metadata(target: DataFrame, updates: DataFrame, as_of) -> DataFra
         *[(F.when(hit, F.col("_u_" + f.name)).otherwise(F.col(f.name)) if f.name in cols
            else F.when(hit, ts).otherwise(F.col("ts")) if f.name == "ts" else F.col(f.name)).alias(f.name)
           for f in target.schema.fields if not f.name.startswith("_")])
-    new = updates.join(target.select("url").distinct(), "url", "left_anti")
+    if small:
+        # URLs of the updates that the log has: a map-side semi join against
+        # the broadcast updates, so only matching rows leave their task
+        seen = target.select("url").join(F.broadcast(updates.select("url")), "url", "left_semi").distinct()
+    else:
+        seen = target.select("url").distinct()
+    new = updates.join(seen, "url", "left_anti")
     inserted = new.select(*[
         (F.col(f.name) if f.name in cols or f.name == "url" else
          ts if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name)

@@ -75,6 +75,7 @@ def discover(edges: DataFrame, seeds: DataFrame, base: str | None = None, max_de
 
     disc = materialize(url_set(seeds).withColumn("depth", F.lit(0)), "bfs-depth0")
     frontier, n_front = disc, disc.count()
+    n_disc = n_front
     depth = 0
     while depth < max_depth:
         fr = frontier.select("url")
@@ -92,10 +93,14 @@ def discover(edges: DataFrame, seeds: DataFrame, base: str | None = None, max_de
         if n_front == 0:
             break
         disc = disc.unionByName(nxt)   # union of written pieces: short lineage
+        n_disc += n_front
         frontier = nxt
     rounds = depth
     if fetchable is None:
-        fetchable = e.select(F.col("src").alias("url")).distinct()
+        srcs = e.select(F.col("src").alias("url"))
+        if n_disc <= broadcast_rows:   # only sources among the discovered URLs
+            srcs = srcs.join(F.broadcast(disc.select("url")), "url", "left_semi")
+        fetchable = srcs.distinct()
     is_page = fetchable.withColumn("_ok", F.lit(True))
     return (disc.join(is_page, "url", "left")
             .select("url", "depth",
