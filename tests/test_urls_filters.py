@@ -115,3 +115,33 @@ def test_filter_urls_distinct_clean(spark):
                                      ("mailto:a@b", False), ("tel:1", False), (" javascript:x", True)])
 def test_usable_href(spark, href, ok):
     assert _col(spark, [href], U.usable_href) == [ok]
+
+
+# random URL-like text: the column functions must agree with the standard-library rule
+_URL_ALPHABET = list("htpsfHTP:/?#;.@[]ab0-%=&\t ") + ["http://", "https://", "//", ":8"]
+
+
+def test_url_functions_match_stdlib_on_random_text(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    cases = []
+
+    @settings(max_examples=400, deadline=None, database=None)
+    @given(st.lists(st.sampled_from(_URL_ALPHABET), max_size=14).map("".join))
+    def collect(u):
+        cases.append(u)
+
+    collect()
+    df = spark.createDataFrame([(u,) for u in cases], "u string")
+    got = df.select("u", U.normalize_url("u").alias("n"), U.clean_url("u").alias("c"),
+                    U.authority("u").alias("a")).collect()
+    for r in got:
+        try:
+            netloc = urlparse(r.u).netloc
+        except ValueError:
+            netloc = None
+        assert r.n == py_normalize(r.u), r.u
+        assert r.c == py_clean(r.u), r.u
+        if netloc is not None:
+            assert r.a == netloc, r.u

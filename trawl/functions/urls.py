@@ -33,6 +33,44 @@ SKIP_HREF_PREFIXES = ["javascript:", "mailto:", "tel:"]
 BLANK_RX = r"(?U)^[\s\x1c-\x1f]*$"
 
 
+def _ipv6_rx() -> str:
+    """IPv6 address text as the standard library accepts it: up to eight
+    1-4 digit hex groups, one optional ``::`` standing for at least one
+    group, an optional dotted IPv4 tail worth two groups, an optional
+    ``%scope``.  Built from that rule (all splits around ``::``)."""
+    h = "[0-9A-Fa-f]{1,4}"
+    v4 = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}"
+
+    def groups(n):
+        return "" if n == 0 else h + f"(?::{h}){{{n - 1}}}" if n > 1 else h
+
+    alts = [f"{groups(8)}", f"{groups(6)}:{v4}"]
+    for tail, width in (("", 0), (v4, 2)):
+        for left in range(0, 8):
+            for right in range(0, 8 - left - width):
+                if left + right + width > 7:
+                    continue
+                r = groups(right)
+                if tail:
+                    r = f"{r}:{tail}" if right else tail
+                alts.append(f"{groups(left)}::{r}")
+    return "^(?:" + "|".join(alts) + ")(?:%[^%]+)?$"
+
+
+IPV6_RX = _ipv6_rx()
+IPVFUTURE_RX = r"^v[A-Fa-f0-9]+\..+$"
+
+
+def bad_authority(netloc: Column) -> Column:
+    """True where ``urlparse`` would reject the authority: unbalanced
+    brackets, or a bracketed host that is not an IPv6/IPvFuture address."""
+    unbalanced = (netloc.contains("[") & ~netloc.contains("]")) | (netloc.contains("]") & ~netloc.contains("["))
+    inner = F.regexp_extract(netloc, r"\[([^\]]*)", 1)   # after the first "[", up to the next "]"
+    bracketed = netloc.contains("[") & netloc.contains("]")
+    ok_inner = F.when(inner.startswith("v"), inner.rlike(IPVFUTURE_RX)).otherwise(inner.rlike(IPV6_RX))
+    return unbalanced | (bracketed & ~ok_inner)
+
+
 def _clean_input(c: Column) -> Column:
     """Drop tab/CR/LF anywhere and leading C0 controls or spaces."""
     return F.regexp_replace(F.regexp_replace(c, r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
@@ -84,7 +122,7 @@ def normalize_url(url) -> Column:
     query = F.regexp_extract(u, URL_RX, 4)
     path = F.when(path == "", F.lit("/")).otherwise(path)
     path = F.when((path != "/") & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
-    bad_brackets = (netloc.contains("[") & ~netloc.contains("]")) | (netloc.contains("]") & ~netloc.contains("["))
+    bad_brackets = bad_authority(netloc)
     out = F.concat(F.lower(scheme), F.lit("://"), netloc, path,
                    F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
     return F.when(c.isNull() | (c == "") | (netloc == "") | bad_brackets, F.lit(None).cast("string")) \
@@ -104,15 +142,20 @@ def clean_url(url) -> Column:
             .when(path.startswith("//"), F.concat(F.lit("//"), path))
             .when(scheme.isin(USES_NETLOC) & ((path == "") | path.startswith("/")), F.concat(F.lit("//"), path))
             .otherwise(path))
+    # urlparse rejects an authority with unbalanced brackets; the input is then returned as it is
     return F.when(c.isNull(), F.lit(None).cast("string")) \
+        .when(bad_authority(netloc), c) \
         .otherwise(F.concat(F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")), body))
 
 
+
 def is_same_domain(url, base) -> Column:
     """Lower-cased authority equals the base, or is a sub-domain of it."""
-    a = F.lower(authority(url))
+    raw = authority(url)
+    a = F.lower(raw)
     b = F.lower(as_col(base))
-    return (a == b) | a.endswith(F.concat(F.lit("."), b))
+    # an authority urlparse rejects is "not same domain" (the reference catches the error)
+    return ~bad_authority(raw) & ((a == b) | a.endswith(F.concat(F.lit("."), b)))
 
 
 def usable_href(href) -> Column:

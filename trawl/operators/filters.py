@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.functions.urls import clean_url, normalize_url, stripped_path
+from trawl.functions.urls import authority, bad_authority, clean_url, normalize_url, stripped_path
 
 log = logging.getLogger(__name__)
 
@@ -48,7 +48,8 @@ def exclude_urls(df: DataFrame, patterns, url_col: str = "url") -> DataFrame:
     pats = valid_patterns(patterns)
     if not pats:
         return df
-    return df.where(~_any_match(stripped_path(url_col), pats))
+    # a URL urlparse rejects is not skipped (the reference catches the error)
+    return df.where(bad_authority(authority(url_col)) | ~_any_match(stripped_path(url_col), pats))
 
 
 def select_urls(df: DataFrame, pattern_text: str | None, url_col: str = "url") -> DataFrame:

@@ -6,7 +6,7 @@ computes the same value as the Spark function of the same name.
 
 from __future__ import annotations
 
-from trawl.functions.urls import PARAMS_RX, URL_RX, USES_NETLOC, USES_PARAMS
+from trawl.functions.urls import IPV6_RX, IPVFUTURE_RX, PARAMS_RX, URL_RX, USES_NETLOC, USES_PARAMS
 
 
 def _lst(xs):
@@ -38,6 +38,14 @@ def stripped_path(x):
     return f"trim({url_path(x)}, '/')"
 
 
+def bad_authority(n):
+    unbalanced = f"((contains({n}, '[') and not contains({n}, ']')) or (contains({n}, ']') and not contains({n}, '[')))"
+    inner = f"regexp_extract({n}, '\\[([^\\]]*)', 1)"
+    ok = (f"(case when starts_with({inner}, 'v') then regexp_matches({inner}, '{IPVFUTURE_RX}') "
+          f"else regexp_matches({inner}, '{IPV6_RX}') end)")
+    return f"({unbalanced} or (contains({n}, '[') and contains({n}, ']') and not {ok}))"
+
+
 def normalize_url(x):
     pre = f"(case when starts_with({x}, 'http://') or starts_with({x}, 'https://') then {x} else concat('https://', {x}) end)"
     net = part(pre, 2)
@@ -45,7 +53,7 @@ def normalize_url(x):
     p1 = f"(case when {p0} = '' then '/' else {p0} end)"
     p2 = f"(case when {p1} <> '/' and ends_with({p1}, '/') then left({p1}, length({p1}) - 1) else {p1} end)"
     q = part(pre, 4)
-    bad = f"((contains({net}, '[') and not contains({net}, ']')) or (contains({net}, ']') and not contains({net}, '[')))"
+    bad = bad_authority(net)
     out = f"concat(lower({part(pre, 1)}), '://', {net}, {p2}, case when {q} <> '' then concat('?', {q}) else '' end)"
     return f"(case when {x} is null or {x} = '' or {net} = '' or {bad} then null else {out} end)"
 
@@ -56,10 +64,12 @@ def clean_url(x):
             f"when starts_with({p}, '//') then concat('//', {p}) "
             f"when {s} in ({_lst(USES_NETLOC)}) and ({p} = '' or starts_with({p}, '/')) then concat('//', {p}) "
             f"else {p} end)")
-    return f"(case when {x} is null then null else concat(case when {s} <> '' then concat({s}, ':') else '' end, {body}) end)"
+    bad = bad_authority(n)
+    return (f"(case when {x} is null then null when {bad} then {x} "
+            f"else concat(case when {s} <> '' then concat({s}, ':') else '' end, {body}) end)")
 
 
 def is_same_domain(x, base):
     a = f"lower({authority(x)})"
     b = f"lower({base})"
-    return f"({a} = {b} or ends_with({a}, concat('.', {b})))"
+    return f"(not {bad_authority(authority(x))} and ({a} = {b} or ends_with({a}, concat('.', {b}))))"
