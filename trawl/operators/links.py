@@ -122,16 +122,27 @@ def link_lists(links: DataFrame, key="src") -> DataFrame:
 
 
 def link_graph(pages: DataFrame, base=None, **kw) -> DataFrame:
-    """One node per page: adjacency lists, and ``error`` for pages that
-    could not be read (no content / parse failure)."""
+    """One node per page: sorted distinct same-domain and external
+    targets, and ``error`` for pages that could not be read (no content /
+    parse failure).  The HTML is parsed once: lists and errors come from one
+    aggregation over the parsed rows; the join back to the page nodes reads
+    only their id and URL."""
     raw = raw_links(pages, **kw)
-    errors = raw.where(F.col("error").isNotNull()).select("page_id", "error")
-    links = classify_links(links_from_raw(raw), base)
-    lists = link_lists(links, key="page_id")
+    if base is None:
+        b = F.lower(authority("src"))
+    else:
+        b = F.lit(base) if isinstance(base, str) else base
+    ok = F.col("error").isNull() & usable_href("href")
+    dst = F.when(ok, normalize_url("dst_raw"))
+    same = is_same_domain(dst, b)
+    agg = raw.groupBy("page_id").agg(
+        F.array_sort(F.collect_set(F.when(same, dst))).alias("same_domain"),
+        F.array_sort(F.collect_set(F.when(~same, dst))).alias("external"),
+        F.max("error").alias("error"))
     nodes = pages.select(F.col(kw.get("id_col", "page_id")).cast("long").alias("page_id"),
                          F.col(kw.get("url_col", "url")).alias("url"))
     empty = F.array().cast("array<string>")
-    return (nodes.join(lists, "page_id", "left").join(errors, "page_id", "left")
+    return (nodes.join(agg, "page_id", "left")
             .select("page_id", "url",
                     F.coalesce("same_domain", empty).alias("same_domain"),
                     F.coalesce("external", empty).alias("external"),
