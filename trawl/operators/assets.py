@@ -54,45 +54,54 @@ def mime_type(file_name, default: str = UNKNOWN_IMAGE_TYPE) -> Column:
     return F.coalesce(F.element_at(m, e), F.element_at(m, F.lower(e)), F.lit(default))
 
 
-def _row(url, file_name, file_type, content_type, payload, meta, domain) -> list[Column]:
-    return [url.alias("url"), file_name.alias("file_name"), F.lit(file_type).alias("file_type"),
-            content_type.alias("content_type"), F.octet_length(payload).cast("long").alias("size"),
-            domain.alias("domain"),
-            F.concat_ws("/", domain, F.lit(FOLDERS[file_type]), file_name).alias("stage_path"),
-            payload.alias("payload"), meta.alias("meta")]
+_FILE = "struct<file_type:string,name_src:string,ext:string,content_type:string,payload:binary,meta:map<string,string>>"
+
+
+def _file(file_type, name_src, ext, content_type, payload, meta) -> Column:
+    return F.struct(F.lit(file_type).alias("file_type"), name_src.alias("name_src"), ext.alias("ext"),
+                    content_type.alias("content_type"), payload.alias("payload"), meta.alias("meta"))
 
 
 def extract_assets(results: DataFrame, domain: str | None = None) -> DataFrame:
     """T6 (+ T5): one row per saved file of every result: markdown (raw
-    markdown preferred), pdf, each decodable image, screenshot."""
-    r = results
-    dom = F.lit(domain) if domain else F.lower(authority("url"))
+    markdown preferred), pdf, each decodable image, screenshot.
+
+    One pass over the results: each row builds the array of its candidate
+    files (a higher-order ``transform`` over its media), which is exploded
+    once; files whose bytes do not decode are dropped.
+    """
+    empty = F.array().cast(f"array<{_FILE}>")
+    no_meta = F.create_map().cast("map<string,string>")
     url = F.col("url")
-    empty_meta = F.create_map().cast("map<string,string>")
-
     md = F.coalesce(F.col("raw_markdown"), F.col("markdown"))
-    markdown = r.where(md.isNotNull()).select(*_row(
-        url, safe_file_name(url, ".md"), "markdown", F.lit("text/markdown"), F.encode(md, "UTF-8"),
-        F.create_map(F.lit("type"), F.lit("markdown_v2")), dom))
-
-    pdf = r.where(F.col("pdf").isNotNull()).select(*_row(
-        url, safe_file_name(url, ".pdf"), "pdf", F.lit("application/pdf"), F.col("pdf"), empty_meta, dom))
-
-    imgs = r.select("url", dom.alias("_dom"), F.explode("media").alias("m")) \
-        .where(F.col("m.data").isNotNull() & F.col("m.src").isNotNull() & (F.col("m.src") != "")) \
-        .withColumn("_bytes", decode_base64(F.col("m.data"))).where(F.col("_bytes").isNotNull())
-    img_name = safe_file_name(F.col("m.src"), file_ext(F.col("m.src")))
-    images = imgs.select(*_row(
-        url, img_name, "image", mime_type(img_name), F.col("_bytes"),
-        F.create_map(F.lit("alt"), F.coalesce(F.col("m.alt"), F.lit("")),
-                     F.lit("score"), F.coalesce(F.col("m.score"), F.lit(0.0)).cast("string"),
-                     F.lit("src"), F.col("m.src")), F.col("_dom")))
-
-    shot_bytes = decode_base64(F.col("screenshot"))
-    shots = r.where(shot_bytes.isNotNull()).select(*_row(
-        url, safe_file_name(url, ".png"), "screenshot", F.lit("image/png"), shot_bytes, empty_meta, dom))
-
-    return markdown.unionByName(pdf).unionByName(images).unionByName(shots)
+    markdown = F.when(md.isNotNull(), F.array(_file(
+        "markdown", url, F.lit(".md"), F.lit("text/markdown"), F.encode(md, "UTF-8"),
+        F.create_map(F.lit("type"), F.lit("markdown_v2"))))).otherwise(empty)
+    pdf = F.when(F.col("pdf").isNotNull(), F.array(_file(
+        "pdf", url, F.lit(".pdf"), F.lit("application/pdf"), F.col("pdf"), no_meta))).otherwise(empty)
+    shot = F.when(F.col("screenshot").isNotNull(), F.array(_file(
+        "screenshot", url, F.lit(".png"), F.lit("image/png"), decode_base64(F.col("screenshot")), no_meta))) \
+        .otherwise(empty)
+    usable = F.filter(F.coalesce(F.col("media"), F.array().cast(results.schema["media"].dataType)),
+                      lambda m: m["data"].isNotNull() & m["src"].isNotNull() & (m["src"] != ""))
+    images = F.transform(usable, lambda m: _file(
+        "image", m["src"], file_ext(m["src"]), mime_type(F.concat(F.lit("x"), file_ext(m["src"]))),
+        decode_base64(m["data"]),
+        F.create_map(F.lit("alt"), F.coalesce(m["alt"], F.lit("")),
+                     F.lit("score"), F.coalesce(m["score"], F.lit(0.0)).cast("string"),
+                     F.lit("src"), m["src"])))
+    dom = F.lit(domain) if domain else F.lower(authority("url"))
+    files = results.select(url, dom.alias("domain"),
+                           F.explode(F.concat(markdown, pdf, images, shot)).alias("f"))
+    files = files.where(F.col("f.payload").isNotNull())
+    name = safe_file_name(F.col("f.name_src"), F.col("f.ext"))
+    return files.select(
+        "url", name.alias("file_name"), F.col("f.file_type").alias("file_type"),
+        F.col("f.content_type").alias("content_type"),
+        F.octet_length("f.payload").cast("long").alias("size"), "domain",
+        F.concat_ws("/", F.col("domain"), F.element_at(F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv]),
+                                                        F.col("f.file_type")), name).alias("stage_path"),
+        F.col("f.payload").alias("payload"), F.col("f.meta").alias("meta"))
 
 
 def write_assets(assets: DataFrame, root: str, mode: str = "append") -> None:
