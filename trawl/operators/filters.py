@@ -70,8 +70,11 @@ def filter_urls(df: DataFrame, patterns=None, url_col: str = "url") -> DataFrame
     The reference keeps duplicates when patterns are given; here the result
     is always a set.
     """
-    cleaned = df.select(clean_url(url_col).alias("url"))
-    return exclude_urls(cleaned, patterns, "url").distinct()
+    # The parsed path and authority of clean_url(u) are those of u (only the
+    # params, query and fragment go, and the path is tested without params),
+    # so the exclusion test runs on the raw column: no nesting of the two.
+    kept = exclude_urls(df.select(F.col(url_col).alias("_raw")), patterns, "_raw")
+    return kept.select(clean_url("_raw").alias("url")).distinct()
 
 
 def validate_urls(df: DataFrame, pages: DataFrame, url_col: str = "url",

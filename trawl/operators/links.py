@@ -97,9 +97,11 @@ def extract_links(pages: DataFrame, **kw) -> DataFrame:
     return links_from_raw(raw_links(pages, **kw))
 
 
-def classify_links(links: DataFrame, base=None) -> DataFrame:
+def classify_links(links: DataFrame, base=None, normalized: bool = True) -> DataFrame:
     """``kind`` = same_domain | external.  ``base`` is a domain string,
-    a column, or None for each source page's own authority."""
+    a column, or None for each source page's own authority.  ``normalized``:
+    the targets come from :func:`extract_links` (normalised, so their
+    authority needs no further check)."""
     if base is None:
         b = F.lower(authority("src"))
     elif isinstance(base, str):
@@ -107,7 +109,8 @@ def classify_links(links: DataFrame, base=None) -> DataFrame:
     else:
         b = base
     return links.withColumn(
-        "kind", F.when(is_same_domain("dst", b), F.lit("same_domain")).otherwise(F.lit("external")))
+        "kind", F.when(is_same_domain("dst", b, validate=not normalized), F.lit("same_domain"))
+        .otherwise(F.lit("external")))
 
 
 def link_lists(links: DataFrame, key="src") -> DataFrame:
@@ -133,11 +136,12 @@ def link_graph(pages: DataFrame, base=None, **kw) -> DataFrame:
     else:
         b = F.lit(base) if isinstance(base, str) else base
     ok = F.col("error").isNull() & usable_href("href")
-    dst = F.when(ok, normalize_url("dst_raw"))
-    same = is_same_domain(dst, b)
-    agg = raw.groupBy("page_id").agg(
-        F.array_sort(F.collect_set(F.when(same, dst))).alias("same_domain"),
-        F.array_sort(F.collect_set(F.when(~same, dst))).alias("external"),
+    # targets and their class in a projection first (computed once per row)
+    staged = raw.select("page_id", "error", F.when(ok, normalize_url("dst_raw")).alias("dst"), b.alias("_b")) \
+        .withColumn("_same", is_same_domain("dst", F.col("_b"), validate=False))
+    agg = staged.groupBy("page_id").agg(
+        F.array_sort(F.collect_set(F.when(F.col("_same"), F.col("dst")))).alias("same_domain"),
+        F.array_sort(F.collect_set(F.when(~F.col("_same"), F.col("dst")))).alias("external"),
         F.max("error").alias("error"))
     nodes = pages.select(F.col(kw.get("id_col", "page_id")).cast("long").alias("page_id"),
                          F.col(kw.get("url_col", "url")).alias("url"))

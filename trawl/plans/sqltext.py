@@ -6,7 +6,8 @@ computes the same value as the Spark function of the same name.
 
 from __future__ import annotations
 
-from trawl.functions.urls import IPV6_RX, IPVFUTURE_RX, PARAMS_RX, URL_RX, USES_NETLOC, USES_PARAMS
+from trawl.functions.urls import (_ANY_BRACKET, _BOTH_BRACKETS, _HOST_IN_BRACKETS, PARAMS_RX, URL_RX,
+                                 USES_NETLOC, USES_PARAMS)
 
 
 def _lst(xs):
@@ -14,7 +15,7 @@ def _lst(xs):
 
 
 def _clean(x):
-    return rf"regexp_replace(regexp_replace({x}, '[\t\r\n]', '', 'g'), '^[\x00-\x20]+', '')"
+    return rf"regexp_replace({x}, '^[\x00-\x20]+|[\t\r\n]', '', 'g')"
 
 
 def part(x, idx):
@@ -39,11 +40,8 @@ def stripped_path(x):
 
 
 def bad_authority(n):
-    unbalanced = f"((contains({n}, '[') and not contains({n}, ']')) or (contains({n}, ']') and not contains({n}, '[')))"
-    inner = f"regexp_extract({n}, '\\[([^\\]]*)', 1)"
-    ok = (f"(case when starts_with({inner}, 'v') then regexp_matches({inner}, '{IPVFUTURE_RX}') "
-          f"else regexp_matches({inner}, '{IPV6_RX}') end)")
-    return f"({unbalanced} or (contains({n}, '[') and contains({n}, ']') and not {ok}))"
+    return (f"(regexp_matches({n}, '{_ANY_BRACKET}') and not (regexp_matches({n}, '{_BOTH_BRACKETS}') "
+            f"and regexp_matches({n}, '{_HOST_IN_BRACKETS}')))")
 
 
 def normalize_url(x):
