@@ -272,3 +272,25 @@ def test_stream_ingest_rerun_adds_nothing(spark):
     stream_ingest(spark, src, sink, ck, p.schema)
     out = spark.read.parquet(sink)
     assert out.count() == n1 == out.select("url").distinct().count()
+
+
+# ---------------------------------------------------------------- SQL surface
+
+def test_sql_functions(spark):
+    from trawl.functions.sql import register
+    from trawl.functions.vectors import cosine
+    register(spark)
+    docs = read_table(spark, SMALL, "documents").select("doc_id", "text")
+    docs.createOrReplaceTempView("t_docs")
+    got = {(r.doc_id, r.chunk_number): r.chunk_text for r in spark.sql(
+        "select d.doc_id, c.chunk_number, c.chunk_text from t_docs d, lateral chunk_text(d.text, 300, 30) c").collect()}
+    want = {(r.doc_id, i): c for r in docs.collect() for i, c in enumerate(CH.split_text(r.text, 300, 30))}
+    assert got == want
+    emb = read_table(spark, SMALL, "embeddings").where(F.col("vec_id") < 20)
+    emb.createOrReplaceTempView("t_emb")
+    a = {(r.x, r.y): r.s for r in spark.sql(
+        "select a.vec_id x, b.vec_id y, cosine_similarity(a.embedding, b.embedding) s from t_emb a, t_emb b").collect()}
+    e = emb.alias("a").crossJoin(emb.alias("b")).select(
+        F.col("a.vec_id").alias("x"), F.col("b.vec_id").alias("y"), cosine("a.embedding", "b.embedding").alias("s"))
+    b = {(r.x, r.y): r.s for r in e.collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
