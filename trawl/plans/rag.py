@@ -310,8 +310,9 @@ def q_cosine_sql(spark, sf_dir):
     _emb(spark, sf_dir).createOrReplaceTempView("trawl_embeddings")
     return spark.sql("""
         select vec_id, round(sim, 6) as similarity from (
-          select e.vec_id, cosine_similarity(e.embedding, q.embedding) as sim
-          from trawl_embeddings e cross join (select embedding from trawl_embeddings where vec_id = 0) q) s
+          select vec_id, cosine_similarity(embedding, qv) as sim from (
+            select vec_id, embedding, (select embedding from trawl_embeddings where vec_id = 0) as qv
+            from trawl_embeddings) e) s
         order by round(sim, 9) desc, vec_id limit 3""")
 
 
