@@ -23,14 +23,16 @@ def _covered(text, chunks):
     cover = [False] * len(text)
     start, end = 0, 0
     for c in chunks:
-        # the first occurrence after the previous start that extends the covered part
-        i = text.find(c, start)
-        while i >= 0 and i + len(c) <= end:
+        # greedy interval cover: the latest occurrence (from the previous start on)
+        # that is contiguous with the covered part, only white space in between
+        best, i = -1, text.find(c, start)
+        while i >= 0 and (i <= end or text[end:i].isspace()):
+            best = i
             i = text.find(c, i + 1)
-        assert i >= 0, "chunk is not a substring in order"
-        for j in range(i, i + len(c)):
+        assert best >= 0, "chunk is not a substring in order"
+        for j in range(best, best + len(c)):
             cover[j] = True
-        start, end = i, i + len(c)
+        start, end = best, max(end, best + len(c))
     return all(cover[i] or text[i].isspace() for i in range(len(text)))
 
 
