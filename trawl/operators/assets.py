@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.urls import authority
 from trawl.functions.util import as_col
+from trawl.operators.util import spread
 
 # File types, content types and stage folders per branch.
 FOLDERS = {"markdown": "markdown", "pdf": "pdfs", "image": "images", "screenshot": "screenshots"}
@@ -91,7 +92,7 @@ def extract_assets(results: DataFrame, domain: str | None = None) -> DataFrame:
                      F.lit("score"), F.coalesce(m["score"], F.lit(0.0)).cast("string"),
                      F.lit("src"), m["src"])))
     dom = F.lit(domain) if domain else F.lower(authority("url"))
-    files = results.select(url, dom.alias("domain"),
+    files = spread(results).select(url, dom.alias("domain"),
                            F.explode(F.concat(markdown, pdf, images, shot)).alias("f"))
     files = files.where(F.col("f.payload").isNotNull())
     name = safe_file_name(F.col("f.name_src"), F.col("f.ext"))
