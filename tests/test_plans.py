@@ -1,5 +1,8 @@
 """The physical plans have the shape the design relies on at scale."""
 
+import contextlib
+import io
+
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
@@ -9,7 +12,10 @@ from trawl.sources.tables import crawl_log_from_events, read_table
 
 
 def _plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
 
 
 def test_retrieval_plan_keeps_chunks_in_place(spark):
