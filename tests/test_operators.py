@@ -296,3 +296,18 @@ def test_sql_functions(spark):
         F.col("a.vec_id").alias("x"), F.col("b.vec_id").alias("y"), cosine("a.embedding", "b.embedding").alias("s"))
     b = {(r.x, r.y): r.s for r in e.collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def test_batch_equals_single_question(spark):
+    """C6 == F4 per question: batch retrieval gives each question what the
+    one-question path (scalar subquery, ORDER BY ... LIMIT) gives."""
+    emb = read_table(spark, SMALL, "embeddings")
+    qs = emb.where(F.col("vec_id").isin(3, 77, 250)).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("qvec"))
+    batch = retrieve.similar_chunks_batch(emb, qs, 4, 0.1, key_cols=("vec_id",), vector_col="embedding")
+    got = {}
+    for r in batch.collect():
+        got.setdefault(r.q_id, []).append((r.rank, r.vec_id))
+    for q in (3, 77, 250):
+        one = retrieve.similar_chunks_sql(emb, qs.where(F.col("q_id") == q), 4, 0.1,
+                                          key_cols=("vec_id",), vector_col="embedding")
+        assert [v for _, v in sorted(got[q])] == [r.vec_id for r in one.collect()]
