@@ -128,10 +128,12 @@ def test_discover_equals_python_bfs(spark):
     g = link_graph_from_lineitem(read_table(spark, SMALL, "lineitem"))
     edges = [(r.src, r.dst) for r in g.collect()]
     seed = "https://g.example.com/p/1"
-    for depth, pages_filter in [(3, None), (2, "/s/")]:
+    # bounds 0 and 40 force the shuffle-join and the large-discovered-set paths
+    for depth, pages_filter, bound in [(3, None, 2_000_000), (2, "/s/", 2_000_000), (3, None, 0), (3, None, 40)]:
         fetch = {s for s, _ in edges} if pages_filter is None else {s for s, _ in edges if pages_filter not in s}
         pg = None if pages_filter is None else spark.createDataFrame([(u,) for u in fetch], "url string")
-        got = frontier.discover(g, spark.createDataFrame([(seed,)], "url string"), "g.example.com", depth, pages=pg)
+        got = frontier.discover(g, spark.createDataFrame([(seed,)], "url string"), "g.example.com", depth,
+                                pages=pg, broadcast_rows=bound)
         got = {r.url: (r.depth, r.processed) for r in got.collect()}
         disc, processed = _py_bfs(edges, [seed], depth, fetch)
         assert got == {u: (d, u in processed) for u, d in disc.items()}

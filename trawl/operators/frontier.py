@@ -58,9 +58,11 @@ def discover(edges: DataFrame, seeds: DataFrame, base: str | None = None, max_de
     Each round joins the frontier with the edge table.  The frontier's row
     count is known (it was just written); up to ``broadcast_rows`` it is
     broadcast, so the edge table is scanned in place and never shuffled;
-    beyond that Spark shuffles both sides on the URL.  The round's distinct
-    targets are written and counted too; when small they are broadcast
-    against the discovered set, which is then never shuffled either.
+    beyond that Spark shuffles both sides on the URL.  For the "not yet
+    discovered" test the discovered set (its size is known) is broadcast while
+    it is within the bound; beyond it the round's distinct targets are
+    written and counted, and when they are small the large discovered set is
+    probed in place against them - it is never shuffled either way.
 
     Returns ``(url, depth, processed, error)``: depth of first discovery;
     URLs found in the last round are discovered but pending.
@@ -88,14 +90,18 @@ def discover(edges: DataFrame, seeds: DataFrame, base: str | None = None, max_de
         cand = e.join(fr, e["src"] == fr["url"]).select(F.col("dst").alias("url")).distinct()
         if base is not None:       # B7 on each distinct target once, not on every edge
             cand = cand.where(is_same_domain("url", F.lit(base)))
-        cand = materialize(cand, f"bfs-cand{depth + 1}")
-        if cand.count() <= broadcast_rows:
-            # the discovered set is probed in place against the broadcast
-            # candidates; it is never shuffled, however large it grows
-            seen = disc.select("url").join(F.broadcast(cand), "url", "left_semi")
-            new = cand.join(F.broadcast(seen), "url", "left_anti")
+        if n_disc <= broadcast_rows:
+            # the discovered set itself is within the bound: broadcast it
+            new = cand.join(F.broadcast(disc.select("url")), "url", "left_anti")
         else:
-            new = cand.join(disc.select("url"), "url", "left_anti")
+            cand = materialize(cand, f"bfs-cand{depth + 1}")
+            if cand.count() <= broadcast_rows:
+                # the large discovered set is probed in place against the
+                # broadcast candidates; it is never shuffled
+                seen = disc.select("url").join(F.broadcast(cand), "url", "left_semi")
+                new = cand.join(F.broadcast(seen), "url", "left_anti")
+            else:
+                new = cand.join(disc.select("url"), "url", "left_anti")
         nxt = materialize(new.withColumn("depth", F.lit(depth + 1)), f"bfs-depth{depth + 1}")
         depth += 1
         n_front = nxt.count()          # parquet footer count
