@@ -227,7 +227,13 @@ def q_response_records(spark, sf_dir):
                       F.get_json_object("record", "$.user_query").alias("user_query"))
 
 
-@query("complete")
+@query("complete", oracle=f"""
+with {SQL_CHUNKS}, {SQL_CB}, {SQL_Q}, {SQL_SIM}, {_top(K, None)}
+select q.conv_id, q.turn,
+       case when context is not null
+            then 'answer to a prompt of ' || cast(length('Context:' || chr(10) || context || chr(10) || chr(10) || 'Query: ' || question) as varchar) || ' characters'
+       end as response
+from q left join ctx using (conv_id, turn)""")
 def q_complete(spark, sf_dir):
     """An answer step over the prompt table (stand-in model)."""
     p = RG.build_prompts(_questions(spark, sf_dir), _embedded_chunks(spark, sf_dir), K,
