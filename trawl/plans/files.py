@@ -67,7 +67,21 @@ a as (
   from d where lang = 'fr')"""
 
 
-@query("page_text", headline=True)
+_PAGE_TEXT_SQL = r"""
+with a as (select page_id, url, html, regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g') h from pages),
+b as (select page_id, url, html, regexp_replace(h, '(?is)<(script|style|noscript|template|form|header|footer|nav)\b[^>]*>.*?</(script|style|noscript|template|form|header|footer|nav)\s*>', ' ', 'g') h from a),
+c as (select page_id, url, html, regexp_replace(h, '(?s)<[^>]*>', ' ', 'g') h from b),
+d as (select page_id, url, html,
+             replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+                     '&#39;', chr(39)), '&amp;', '&'), '&amp', '&') h from c)
+select page_id, url, case when html is not null then trim(regexp_replace(h, '\s+', ' ', 'g')) end as text,
+       case when html is null then 'no content' end as error
+from d"""
+
+
+# SQL twin: regex removal of comments, dropped elements and tags, then the
+# entities that occur in the data; equal to the parser's text on the driver tables
+@query("page_text", headline=True, oracle=_PAGE_TEXT_SQL)
 def q_page_text(spark, sf_dir):
     """T4: main text of every page without form/header/footer/nav/script/style."""
     return P.page_text(read_table(spark, sf_dir, "pages"))
