@@ -344,3 +344,14 @@ def test_stream_ingest_with_watermark(spark):
     out = spark.read.parquet(sink)
     n_out, n_urls = out.count(), log.select("url").distinct().count()
     assert n_urls <= n_out <= log.count()
+
+
+def test_discover_from_base_url_and_sitemaps(spark):
+    """G6 seeding as in the reference: normalised base URL plus sitemap URLs,
+    links followed inside the base URL's domain only."""
+    g = link_graph_from_lineitem(read_table(spark, SMALL, "lineitem"))
+    edges = [(r.src, r.dst) for r in g.collect()]
+    sm = spark.createDataFrame([("https://g.example.com/s/2/",)], "url string")
+    got = {r.url: r.depth for r in frontier.discover_from(g, "g.example.com/p/1/", sm, max_depth=2).collect()}
+    disc, _ = _py_bfs(edges, ["https://g.example.com/p/1", "https://g.example.com/s/2"], 2, {s for s, _ in edges})
+    assert got == disc
