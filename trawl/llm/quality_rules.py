@@ -112,7 +112,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[s
     text, words, lines, grams, n, nl, reps = (fresh(docs.columns, x) for x in (
         "text__", "words__", "lines__", "grams__", "n_words__", "n_lines__", "n_repeat__"))
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
-    df = docs.withColumn(text, text_or_empty(F.col(f"`{text_col}`")))
+    df = docs.withColumn(text, text_or_empty(f"`{text_col}`"))
     df = df.withColumns({words: words_of(F.col(text)), lines: lines_of(F.col(text))})
     df = df.withColumn(grams, window_hashes(F.col(words)))
     df = df.withColumns({n: F.size(words).cast("long"), nl: F.size(lines).cast("long"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trawl.llm.common import table
 from trawl.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, WINDOW, quality_rules
+from trawl.llm.simhash import fingerprint_hex, near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +62,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m
 """
 QUERIES["op5_quality_rules"] = op5_quality_rules
+
+
+def op6_simhash_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+QUERIES["op6_simhash_vantage_trees"] = op6_simhash_vantage_trees
