@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trawl.llm.bpe import encode_documents
 from trawl.llm.common import table
+from trawl.llm.mixing import with_probability
+from trawl.llm.pii import pseudonymize
 from trawl.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, WINDOW, quality_rules
 from trawl.llm.simhash import fingerprint_hex, near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document under the threshold table."""
@@ -71,3 +78,27 @@ def op6_simhash_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_simhash_vantage_trees"] = op6_simhash_vantage_trees
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and the number of mentions replaced."""
+    out = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_mentions")
+    return out.select("doc_id", "text", "n_mentions")
+
+
+def op7_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic, tokens, probability and decision of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    out = with_probability(docs)
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"),
+                      "sampled")
+
+
+def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of the ids of every document, and the digest of the decoded text."""
+    return encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+QUERIES["op1_pii_surrogates"] = op1_pii_surrogates
+QUERIES["op7_mixing_weights"] = op7_mixing_weights
+QUERIES["op9_bpe_automaton"] = op9_bpe_automaton
