@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 from trawl.llm.bpe import encode_documents
 from trawl.llm.common import table
 from trawl.llm.mixing import with_probability
+from trawl.llm.mixing_sql import mixing_sql
+from trawl.llm.permutation_index import nearest
 from trawl.llm.pii import pseudonymize
 from trawl.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, WINDOW, quality_rules
+from trawl.llm.quality_net import quality_scores
+from trawl.llm.secrets import find_secrets
 from trawl.llm.simhash import fingerprint_hex, near_duplicates
+from trawl.llm.site_templates import main_text
+from trawl.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +108,36 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op1_pii_surrogates"] = op1_pii_surrogates
 QUERIES["op7_mixing_weights"] = op7_mixing_weights
 QUERIES["op9_bpe_automaton"] = op9_bpe_automaton
+
+
+def op2_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op4_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+QUERIES["op2_quality_network"] = op2_quality_network
+QUERIES["op3_secret_markov"] = op3_secret_markov
+QUERIES["op4_site_templates"] = op4_site_templates
+QUERIES["op8_toxicity_counterfactual"] = op8_toxicity_counterfactual
+QUERIES["op10_permutation_index"] = op10_permutation_index
+ORACLES["op7_mixing_weights"] = mixing_sql()
