@@ -37,7 +37,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm.common import text_or_empty
+from trawl.llm.common import materialize, text_or_empty
 
 #: Most words in the lexicon, and most that one task's summary keeps.
 LEXICON_WORDS = 100_000
@@ -317,7 +317,7 @@ class Encoder:
 # --- the corpus -------------------------------------------------------------------------------------------------------
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all documents, by summed bounded summaries of the tasks."""
+    """The most frequent words of all documents (at most ``most``), by summed bounded summaries of the tasks."""
     def summary(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
         for pdf in it:
@@ -331,8 +331,15 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
         yield pd.DataFrame(top, columns=["word", "n"])
 
     counts = docs.select(text_or_empty(f"`{text_col}`").alias("text")).mapInPandas(summary, "word string, n long")
-    rows = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in rows.select("word").collect()]
+    summed = materialize(counts.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    # a histogram of the counts (eighths of powers of two, so a few hundred rows) tells where to cut
+    level = F.floor(F.log2("n") * 8).cast("int")
+    left, cut = most, None
+    for r in sorted(summed.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        if r["count"] > left:
+            break
+        left, cut = left - r["count"], r["level"]
+    return [] if cut is None else [r["word"] for r in summed.filter(level >= cut).select("word").collect()]
 
 
 def ship_lexicon(spark: SparkSession, lexicon: Lexicon) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trawl.session import materialize
 
-__all__ = ["as_bool_learn", "fresh", "let", "materialize", "table", "text_or_empty"]
+__all__ = ["as_bool_learn", "bounded_sample", "fresh", "let", "materialize", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,3 +40,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def as_bool_learn(doc_id: Column) -> Column:
     """True for the rows that a model may learn labels from: crc32 of the id as text, modulo 3, is not 1."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 != 1
+
+
+def bounded_sample(df: DataFrame, key: Column, rows: int, most: int) -> DataFrame:
+    """The ``most`` rows with the smallest hash of ``key``, of a frame with about ``rows`` rows.
+
+    A first cut by the hash leaves little more than ``most`` rows, so no task and no driver sees more than that.
+    """
+    place = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30))
+    cut = min(1 << 30, int((1.2 * most + 100) / max(1, rows) * (1 << 30)))
+    return df.filter(place < cut).orderBy(place, key).limit(most)

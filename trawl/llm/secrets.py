@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import let, text_or_empty
+from trawl.llm.common import bounded_sample, let, text_or_empty
 
 # The base patterns (the length conditions of access and hex are part of the pattern: a maximal run
 # that is too short holds no longer one).
@@ -80,8 +80,9 @@ def base_spans(text: Column) -> tuple[Column, Column, Column]:
 
 def labelled_samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     """(sample, random): ordinary identifiers (0) and random strings (1) from at most ``most`` documents."""
-    d = docs.select(F.col("doc_id").cast("string").alias("id"), text_or_empty("text").alias("t")) \
-        .orderBy(F.xxhash64("id"), "id").limit(most)
+    d = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"),
+                    text_or_empty("text").alias("t"))
+    d = bounded_sample(d, F.col("id"), docs.count(), most)
     plain = F.regexp_replace("t", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
     d = d.select("id", "t", F.regexp_extract_all(plain, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w"))
     after = F.slice("w", 2, F.size("w"))
@@ -93,7 +94,7 @@ def labelled_samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     # numbers are ordinary: ids, amounts, account and telephone numbers are not keys
     numbers = F.transform("w", lambda x: F.abs(F.xxhash64(x) % 10 ** 16).cast("string"))
     ordinary = d.select(F.explode(F.concat(F.col("w"), numbers, *joined)).alias("sample"), F.lit(0).alias("random"))
-    digest = F.sha2(F.concat(F.lit("sample "), F.coalesce("id", F.lit("null"))), 256)
+    digest = F.sha2(F.concat(F.lit("sample "), "id"), 256)
     made = d.select(F.explode(F.array(
         digest, F.upper(digest), F.translate(F.base64(F.unhex(digest)), "=", ""),
         F.regexp_replace(F.base64(F.unhex(F.sha2(digest, 512))), "[^A-Za-z0-9]", ""),

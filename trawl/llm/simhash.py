@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.common import fresh, materialize, text_or_empty
+from trawl.llm.common import bounded_sample, fresh, materialize, text_or_empty
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -155,7 +155,7 @@ def fit_tree(sample: np.ndarray, mask: int, radius: int, depth: int) -> Tree:
 
 def fit_forest(distinct: DataFrame, n: int, max_bits: int, parts: int = 2) -> list[Tree]:
     """One tree for each part of the 64 bits, fitted on at most ``TREE_SAMPLE`` fingerprints (smallest hash first)."""
-    rows = distinct.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).select("fp").collect()
+    rows = bounded_sample(distinct.select("fp"), F.col("fp"), n, TREE_SAMPLE).collect()
     sample = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     depth = max(0, int(np.ceil(np.log2(max(1, n) / SHARD))))
     width = 64 // parts
