@@ -3,16 +3,18 @@
 import base64
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
-from trawl import schemas
+from trawl import schemas, session
 from trawl.operators import assets as A
 from trawl.operators import chunks as CH
 from trawl.operators import crawl_log as C
-from trawl.operators import frontier, links, pages, rag, retrieve, sitemaps
+from trawl.operators import embed, frontier, links, pages, rag, retrieve, sitemaps
+from trawl.operators.util import spread
 from trawl.sources.tables import crawl_log_from_events, link_graph_from_lineitem, read_table
 
 
@@ -128,14 +130,17 @@ def test_discover_equals_python_bfs(spark):
     g = link_graph_from_lineitem(read_table(spark, SMALL, "lineitem"))
     edges = [(r.src, r.dst) for r in g.collect()]
     seed = "https://g.example.com/p/1"
-    # bounds 0 and 40 force the shuffle-join and the large-discovered-set paths
-    for depth, pages_filter, bound in [(3, None, 2_000_000), (2, "/s/", 2_000_000), (3, None, 0), (3, None, 40)]:
+    # without automatic broadcasts every join of the walk is a shuffle join
+    for depth, pages_filter, bound in [(3, None, "10MB"), (2, "/s/", "10MB"), (3, None, "-1"), (None, None, "10MB")]:
         fetch = {s for s, _ in edges} if pages_filter is None else {s for s, _ in edges if pages_filter not in s}
         pg = None if pages_filter is None else spark.createDataFrame([(u,) for u in fetch], "url string")
-        got = frontier.discover(g, spark.createDataFrame([(seed,)], "url string"), "g.example.com", depth,
-                                pages=pg, broadcast_rows=bound)
-        got = {r.url: (r.depth, r.processed) for r in got.collect()}
-        disc, processed = _py_bfs(edges, [seed], depth, fetch)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+        try:
+            got = frontier.discover(g, spark.createDataFrame([(seed,)], "url string"), "g.example.com", depth, pages=pg)
+            got = {r.url: (r.depth, r.processed) for r in got.collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        disc, processed = _py_bfs(edges, [seed], depth or 10 ** 6, fetch)
         assert got == {u: (d, u in processed) for u, d in disc.items()}
 
 
@@ -164,6 +169,90 @@ def test_with_batches_equals_python(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("partitions", [4, 16, 200])
+@pytest.mark.parametrize("aqe", ["true", "false"])
+def test_with_index_loses_no_row_of_a_wide_frame(spark, partitions, aqe):
+    n = 60_000
+    df = spark.range(n).select(F.xxhash64("id").alias("k"), F.repeat(F.lit("payload "), 8).alias("text"), "id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    try:
+        rows = C.with_index(df, ["k"]).select("_idx", "k").orderBy("_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert [r[0] for r in rows] == list(range(n))
+    assert [r[1] for r in rows] == sorted(r[1] for r in rows)
+
+
+def test_latest_per_url_carries_maps(spark):
+    df = spark.createDataFrame([("u", 1, "a", {"x": 1}), ("u", 2, "a", {"x": 2}), ("u", 2, "b", {"x": 3}), (None, 1, "z", None)],
+                               "url string, ts int, file_name string, extra map<string,int>")
+    assert {(r.url, r.ts, r.file_name) for r in C.latest_per_url(df).collect()} == {("u", 2, "b"), (None, 1, "z")}
+    assert [r.extra for r in C.latest_per_url(df).collect() if r.url] == [{"x": 3}]
+
+
+def test_merge_rejects_two_updates_and_keeps_odd_columns(spark):
+    cols = "url string, file_name string, file_type string, content_type string, size long, metadata string"
+    t = spark.createDataFrame([("u1", "f", "t", "c", 1, None, 7, 8)], cols + ", _hit int, upsert_hit int") \
+        .withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    one = [("u1", "g", "t", "c", 2, None)]
+    out = C.merge_file_metadata(t, spark.createDataFrame(one, cols), "2024-02-01 00:00:00").first()
+    assert (out.file_name, out._hit, out.upsert_hit) == ("g", 7, 8)
+    with pytest.raises(ValueError):
+        C.merge_file_metadata(t, spark.createDataFrame(one * 2, cols), "2024-02-01 00:00:00")
+
+
+def test_all_files_of_a_url_are_listed(spark):
+    log = spark.createDataFrame([("u", "a.pdf", "pdf"), ("u", "b.pdf", "pdf"), ("u", "b.pdf", "pdf"), ("v", "c", "md"),
+                                 ("u", None, None)], "url string, file_name string, file_type string")
+    res = spark.createDataFrame([("u", True, None), ("v", False, "x"), ("w", True, None)],
+                                "url string, success boolean, error_message string")
+    assert {r.url: r.files for r in C.results_with_files(res, log).collect()} == {"u": 2, "v": 0, "w": 0}
+    assert {tuple(r) for r in C.result_files(res, log).collect()} == {("u", "a.pdf"), ("u", "b.pdf")}
+
+
+def test_embedder_takes_null_empty_and_tokenless_text(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "!!"), (4, "a b a")], "id long, chunk_text string")
+    got = {r.id: r.vector for r in embed.embed(df, dim=8).collect()}
+    assert got[1] is None and sum(got[2]) == 0 and sum(got[3]) == 0 and sum(got[4]) == 3 and len(got[4]) == 8
+
+
+def test_checkpoint_dir_is_needed_off_local(monkeypatch):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
+
+
+def test_spread_runs_no_job_and_changes_no_setting(spark):
+    tracker, before = spark.sparkContext.statusTracker(), spark.sparkContext.getConf().getAll()
+    emb = read_table(spark, SMALL, "embeddings")
+    df = emb.join(emb.select("vec_id"), "vec_id").orderBy("vec_id")
+    spark.sparkContext.setJobGroup("spread", "spread")
+    try:
+        out = spread(df, 64)
+        jobs = list(tracker.getJobIdsForGroup("spread"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert not jobs and spark.sparkContext.getConf().getAll() == before
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true" and out.count() == emb.count()
+
+
 def test_merge_file_metadata(spark):
     t = spark.createDataFrame([("u1", True, None, '{"a":1}', "2024-01-01 00:00:00", "md", "f1", "pdf", "x", 1),
                                ("u1", False, "e", None, "2024-01-02 00:00:00", None, None, None, None, None),
@@ -244,6 +333,16 @@ def test_sitemaps_bad_xml_and_cycles(spark):
     assert found == {"https://s.com/sitemap_index.xml", "https://s.com/a.xml", "https://s.com/p/1", "https://s.com/h1"}
 
 
+def test_nested_sitemaps_have_no_depth_limit(spark):
+    ns = sitemaps.SITEMAP_NS
+    docs = spark.createDataFrame([
+        (f"https://s.com/m{k}.xml", f'<x xmlns="{ns}"><loc>\n https://s.com/{f"m{k + 1}.xml" if k < 13 else "end"} </loc></x>',
+         True, 200) for k in range(14)], schemas.SITEMAPS)
+    roots = spark.createDataFrame([("https://s.com/m0.xml",)], "url string")
+    found = {r.url for r in sitemaps.expand_sitemaps(docs, roots).collect()}
+    assert found == {f"https://s.com/m{k}.xml" for k in range(1, 14)} | {"https://s.com/end"}
+
+
 # ---------------------------------------------------------------- R5 / R6 / D12
 
 def test_complete_and_records(spark):

@@ -30,7 +30,12 @@ def test_retrieval_plan_keeps_chunks_in_place(spark):
 def test_latest_per_url_combines_map_side(spark):
     log = crawl_log_from_events(read_table(spark, SMALL, "events"))
     p = _plan(C.latest_per_url(log))
-    assert "partial_max" in p and "Window" not in p
+    assert "partial_max_by" in p and "Window" not in p
+
+
+def test_walk_does_not_shuffle_the_edges_first(spark):
+    from trawl.sources.tables import link_graph_from_lineitem
+    assert "Exchange" not in _plan(link_graph_from_lineitem(read_table(spark, SMALL, "lineitem")))
 
 
 def test_filters_and_columns_reach_the_scan(spark):

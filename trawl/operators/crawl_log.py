@@ -2,7 +2,7 @@
 C10, D1-D8, E2, E3, F1, H16, H17, H20, H21, T5).
 
 The log may hold many rows per URL (appends are never de-duplicated).
-"Latest row per URL" is a ``max(struct(ts, tie, ...))`` aggregate: it is
+"Latest row per URL" is a ``max_by(row, (ts, tie))`` aggregate: it is
 combined map-side before the shuffle, so a URL that holds a third of all
 rows still costs one partial row per task, not one giant sort group.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trawl import schemas
 from trawl.functions.urls import authority
+from trawl.operators.filters import is_excluded
 from trawl.session import checkpoint_dir, materialize
 
 # Result labels, default error text and content types.
@@ -21,7 +22,6 @@ STATUS_OK = "✅ Success"
 STATUS_FAILED = "❌ Failed"
 UNKNOWN_ERROR = "Unknown error"
 SAVED_CONTENT_TYPES = ["markdown", "images", "pdf", "screenshot"]
-BROADCAST_ROWS = 1_000_000          # upsert sources up to this size are broadcast
 
 
 # ---------------------------------------------------------------- writing
@@ -55,41 +55,44 @@ def append_documents(docs: DataFrame, path: str) -> None:
     docs.select("source_id", "contents").write.mode("append").parquet(path)
 
 
+def _unused(base: str, *taken) -> str:
+    """A column name that none of the given frames or names has."""
+    low = {c.lower() for t in taken for c in (t.columns if isinstance(t, DataFrame) else [t])}
+    while base.lower() in low:
+        base += "_"
+    return base
+
+
 def merge_file_metadata(target: DataFrame, updates: DataFrame, as_of) -> DataFrame:
     """A3 / C4: upsert file metadata by URL.
 
     Matched target rows (every row of that URL) get file_name, file_type,
     content_type, size, metadata and ``ts = as_of``; other columns stay.
     Unmatched updates are inserted with those six columns, the rest NULL.
-    ``updates`` must hold one row per URL.  The result is a new table; write
-    it to a new path and swap (parquet has no in-place MERGE).
+    Two updates for one URL are an error (which of them should win is not
+    known).  The result is a new table; write it to a new path and swap
+    (parquet has no in-place MERGE).
 
-    The small side (updates) is broadcast after a size check, so the large
-    log is not shuffled for the matched part; only its distinct URLs are
-    shuffled for the insert test.
+    The updates are written once, so Spark knows their size: it broadcasts them
+    when they are small and shuffles both sides otherwise.  The insert test
+    needs only the log's URLs that occur in the updates.
     """
     cols = ["file_name", "file_type", "content_type", "size", "metadata"]
     checkpoint_dir(target.sparkSession)
     updates = materialize(updates.select("url", *cols), "upsert-source")   # computed once
-    u = updates.select("url", *[F.col(c).alias("_u_" + c) for c in cols]).withColumn("_hit", F.lit(True))
-    small = updates.count() <= BROADCAST_ROWS   # parquet footer count
-    if small:
-        u = F.broadcast(u)
+    if not updates.groupBy("url").count().where("count > 1").isEmpty():
+        raise ValueError("merge_file_metadata: more than one update for a URL")
+    hit = _unused("upsert_hit", target)
+    new = {c: _unused("upsert_" + c, target, hit) for c in cols}
+    u = updates.select("url", *[F.col(c).alias(new[c]) for c in cols], F.lit(True).alias(hit))
     ts = F.lit(as_of).cast("timestamp_ntz")
-    matched = target.join(u, "url", "left")
-    hit = F.col("_hit").isNotNull()
-    kept = matched.select(
-        *[(F.when(hit, F.col("_u_" + f.name)).otherwise(F.col(f.name)) if f.name in cols
-           else F.when(hit, ts).otherwise(F.col("ts")) if f.name == "ts" else F.col(f.name)).alias(f.name)
-          for f in target.schema.fields if not f.name.startswith("_")])
-    if small:
-        # URLs of the updates that the log has: a map-side semi join against
-        # the broadcast updates, so only matching rows leave their task
-        seen = target.select("url").join(F.broadcast(updates.select("url")), "url", "left_semi").distinct()
-    else:
-        seen = target.select("url").distinct()
-    new = updates.join(seen, "url", "left_anti")
-    inserted = new.select(*[
+    is_hit = F.col(hit).isNotNull()
+    kept = target.join(u, "url", "left").select(
+        *[(F.when(is_hit, F.col(new[c])).otherwise(F.col(c)) if c in cols
+           else F.when(is_hit, ts).otherwise(F.col("ts")) if c == "ts" else F.col(c)).alias(c)
+          for c in target.columns])
+    seen = target.select("url").join(updates.select("url"), "url", "left_semi").distinct()
+    inserted = updates.join(seen, "url", "left_anti").select(*[
         (F.col(f.name) if f.name in cols or f.name == "url" else
          ts if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in target.schema.fields])
@@ -99,13 +102,15 @@ def merge_file_metadata(target: DataFrame, updates: DataFrame, as_of) -> DataFra
 # ---------------------------------------------------------------- reading
 
 def latest_per_url(log: DataFrame, ts: str = "ts", tie=("file_name",)) -> DataFrame:
-    """Newest row per URL (ties broken by ``tie`` descending)."""
-    rest = [c for c in log.columns if c not in ("url", ts, *tie)]
-    packed = F.struct(F.col(ts).alias("_ts"), *[F.col(c).alias("_t_" + c) for c in tie],
-                      *[F.col(c) for c in rest])
-    best = log.groupBy("url").agg(F.max(packed).alias("_b"))
-    return best.select("url", F.col("_b._ts").alias(ts), *[F.col("_b._t_" + c).alias(c) for c in tie],
-                       *[F.col("_b." + c).alias(c) for c in rest]).select(*log.columns)
+    """Newest row per URL (ties broken by ``tie`` descending).
+
+    ``max_by`` compares (ts, tie) alone: the other columns are carried, never
+    ordered, so they may be of any type (maps too).
+    """
+    rest = [c for c in log.columns if c != "url"]
+    order = F.struct(F.col(ts).alias("t"), *[F.col(c).alias(f"t{k}") for k, c in enumerate(tie)])
+    best = log.groupBy("url").agg(F.max_by(F.struct(*rest), order).alias("newest"))
+    return best.select("url", *[F.col("newest").getField(c).alias(c) for c in rest]).select(*log.columns)
 
 
 def json_field(metadata, key: str, default: str = "{}") -> Column:
@@ -125,16 +130,16 @@ def crawl_result(log: DataFrame, url: str) -> DataFrame:
 
 
 def saved_files(log: DataFrame, url: str | None = None, file_type: str | None = None,
-                stage_prefix: str = "@DOCUMENTATIONS/") -> DataFrame:
-    """B1 + B3 + B15 + F1: file rows, optional filters, newest first, with
-    ``file_path`` when the metadata names a stage path."""
+                *, stage_prefix: str) -> DataFrame:
+    """B1 + B3 + B15 + F1: file rows, optional filters, newest first (ties by
+    URL and file name), with ``file_path`` = prefix + the stage path that the metadata names."""
     df = log
     if url:
         df = df.where(F.col("url") == url)
     if file_type:
         df = df.where(F.col("file_type") == file_type)
     sp = F.get_json_object("metadata", "$.STAGE_PATH")
-    return df.orderBy(F.col("ts").desc()).select(
+    return df.orderBy(F.col("ts").desc(), "url", "file_name").select(
         "url", "file_name", "file_type", "content_type", "size", "metadata",
         F.when(sp.isNotNull(), F.concat(F.lit(stage_prefix), sp)).alias("file_path"))
 
@@ -144,19 +149,22 @@ def cached_urls(log: DataFrame) -> DataFrame:
     return log.select("url").distinct()
 
 
+def result_files(results: DataFrame, log: DataFrame) -> DataFrame:
+    """The saved files of every successful result, one ``(url, file_name)`` row each, every file once."""
+    ok = results.where(F.coalesce(F.col("success"), F.lit(False))).select("url").distinct()
+    files = log.where(F.col("file_name").isNotNull()).select("url", "file_name")
+    return files.join(ok, "url", "left_semi").distinct()
+
+
 def results_with_files(results: DataFrame, log: DataFrame) -> DataFrame:
-    """Each crawl result with a ``files`` map file_type -> file_name of
-    its saved files (newest per type); empty when the crawl failed."""
-    f = log.where(F.col("file_name").isNotNull() & F.col("file_type").isNotNull())
-    newest = (f.groupBy("url", "file_type")
-              .agg(F.max(F.struct("ts", "file_name")).alias("_b"))
-              .groupBy("url")
-              .agg(F.map_from_entries(F.array_sort(F.collect_list(
-                  F.struct(F.col("file_type"), F.col("_b.file_name"))))).alias("files")))
-    empty = F.create_map().cast("map<string,string>")
-    return (results.join(newest, "url", "left")
-            .withColumn("files", F.when(F.coalesce(F.col("success"), F.lit(False)),
-                                        F.coalesce(F.col("files"), empty)).otherwise(empty)))
+    """Each crawl result with ``files``, the number of its saved files (by
+    distinct name); 0 when the crawl failed.  The files themselves are the
+    rows of :func:`result_files`: no URL's files are gathered into one value."""
+    names = log.where(F.col("file_name").isNotNull()).select("url", "file_name").distinct()
+    n = names.groupBy("url").agg(F.count("*").alias("files"))
+    ok = F.coalesce(F.col("success"), F.lit(False))
+    return (results.join(n, "url", "left")
+            .withColumn("files", F.when(ok, F.coalesce(F.col("files"), F.lit(0))).otherwise(F.lit(0)).cast("long")))
 
 
 def result_rows(results: DataFrame) -> DataFrame:
@@ -166,7 +174,7 @@ def result_rows(results: DataFrame) -> DataFrame:
     return results.select(
         "url",
         F.when(ok, F.lit(STATUS_OK)).otherwise(F.lit(STATUS_FAILED)).alias("status"),
-        F.when(ok, F.size("files")).otherwise(F.lit(0)).cast("long").alias("files"),
+        F.when(ok, F.col("files")).otherwise(F.lit(0)).cast("long").alias("files"),
         F.when(~ok, F.coalesce(F.col("error_message"), F.lit(UNKNOWN_ERROR))).alias("error"))
 
 
@@ -184,7 +192,7 @@ def crawl_summary(results: DataFrame) -> DataFrame:
     return results.agg(
         n.alias("total"),
         F.when(n > 0, F.round(F.count_if(ok) * 100.0 / n, 1)).otherwise(F.lit(0.0)).alias("success_rate"),
-        F.coalesce(F.sum(F.when(ok, F.size("files"))), F.lit(0)).cast("long").alias("saved_files"))
+        F.coalesce(F.sum(F.when(ok, F.col("files"))), F.lit(0)).cast("long").alias("saved_files"))
 
 
 def upper_columns(df: DataFrame) -> DataFrame:
@@ -241,17 +249,21 @@ def saved_content_counts(assets: DataFrame, type_col: str = "file_type") -> Data
         .select("content", F.coalesce("saved", F.lit(0)).cast("long").alias("saved"))
 
 
-def crawl_metrics(log: DataFrame, batch_size: int = 10, skipped: int = 0) -> DataFrame:
+def crawl_metrics(log: DataFrame, batch_size: int = 10, patterns=None) -> DataFrame:
     """D6 + H21: successful, failed, skipped, total batches ``(n-1)//size+1``,
     duration in seconds (last minus first time stamp), URLs per second =
-    (ok + failed) / duration, 0 when the duration is not positive."""
-    n = F.count("*")
-    dur = (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
-    agg = log.agg(F.count_if(F.col("success")).alias("successful"),
-                  F.count_if(~F.col("success")).alias("failed"),
-                  F.lit(skipped).cast("long").alias("skipped"),
-                  F.when(n > 0, F.floor((n - 1) / batch_size) + 1).otherwise(F.lit(0)).cast("long").alias("total_batches"),
-                  dur.alias("duration"))
+    (ok + failed) / duration, 0 when the duration is not positive.
+
+    ``skipped`` counts the rows whose URL an exclusion pattern (B8) matches;
+    they are left out of all other figures."""
+    out = F.coalesce(is_excluded(patterns), F.lit(False)) if patterns else F.lit(False)
+    rows = log.select("success", "ts", out.alias("out"))
+    n, ts = F.count_if(~F.col("out")), F.when(~F.col("out"), F.col("ts").cast("timestamp"))
+    agg = rows.agg(F.count_if(~F.col("out") & F.col("success")).alias("successful"),
+                   F.count_if(~F.col("out") & ~F.col("success")).alias("failed"),
+                   F.count_if("out").alias("skipped"),
+                   F.when(n > 0, F.floor((n - 1) / batch_size) + 1).otherwise(F.lit(0)).cast("long").alias("total_batches"),
+                   ((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6).alias("duration"))
     return agg.withColumn("urls_per_second", F.when(F.col("duration") > 0,
                                                     (F.col("successful") + F.col("failed")) / F.col("duration"))
                           .otherwise(F.lit(0.0)))
@@ -260,34 +272,38 @@ def crawl_metrics(log: DataFrame, batch_size: int = 10, skipped: int = 0) -> Dat
 # ---------------------------------------------------------------- numbering
 
 def with_index(df: DataFrame, order_cols) -> DataFrame:
-    """0-based global position in ``order_cols`` order, without a
-    single-partition window: sort (range partitioned), tag rows with
-    partition id and position, then add the sizes of all earlier
-    partitions (a table of one row per partition)."""
-    srt = df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
-    srt = srt.withColumn("_pid", F.shiftright("_mid", 33)) \
-             .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    """0-based global position (column ``_idx``) in ``order_cols`` order,
+    without a single-partition window.
+
+    The sorted frame is computed once: it is written with the id of its
+    partition and the position in it, and both the partition sizes and the
+    rows are read from there (sorting twice would sample other range bounds).
+    """
+    mid = F.col("_mid")
+    srt = materialize(df.orderBy(*order_cols).withColumn("_mid", F.monotonically_increasing_id()), "sorted")
+    srt = srt.withColumn("_pid", F.shiftright(mid, 33)).withColumn("_pos", mid.bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = srt.groupBy("_pid").agg(F.count("*").alias("_n"))
+    # one row per partition
     offs = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     return srt.join(F.broadcast(offs), "_pid").withColumn("_idx", F.col("_off") + F.col("_pos")) \
         .drop("_mid", "_pid", "_pos", "_off")
 
 
-def with_batches(df: DataFrame, key: str = "url", size: int = 10, per: str | None = "domain") -> DataFrame:
-    """``batch = position // size + 1`` in ``key`` order, numbered per
-    domain (``per='domain'``), per another column, or over the whole list
-    (``per=None``, the reference's numbering).  Hot domains are split over
-    many tasks by the global sort; nothing is collected per group."""
+def with_batches(df: DataFrame, key: str = "url", size: int = 10, per: str | None = "domain",
+                 ties: tuple[str, ...] = ()) -> DataFrame:
+    """``batch = position // size + 1`` in ``key`` order (then ``ties``),
+    numbered per domain (``per='domain'``), per another column, or over the
+    whole list (``per=None``, the reference's numbering).  Hot domains are split
+    over many tasks by the global sort; nothing is collected per group."""
     if per is None:
-        ix = with_index(df, [F.col(key)])
+        ix = with_index(df, [F.col(c) for c in (key, *ties)])
         return ix.withColumn("batch", F.floor(F.col("_idx") / size).cast("long") + 1).drop("_idx")
     grp = authority(key) if per == "domain" else F.col(per)
-    d = df.withColumn("_grp", grp)
-    ix = with_index(d, [F.col("_grp"), F.col(key)])
+    ix = with_index(df.withColumn("_grp", grp), [F.col(c) for c in ("_grp", key, *ties)])
     start = ix.groupBy("_grp").agg(F.min("_idx").alias("_start"))
-    return (ix.join(start, "_grp")
+    return (ix.join(start.withColumnRenamed("_grp", "_grp2"), F.col("_grp").eqNullSafe(F.col("_grp2")))
             .withColumn("batch", F.floor((F.col("_idx") - F.col("_start")) / size).cast("long") + 1)
-            .drop("_grp", "_idx", "_start"))
+            .drop("_grp", "_grp2", "_idx", "_start"))
 
 
 def orphan_chunks(chunks: DataFrame, log: DataFrame, key: str = "source_id") -> DataFrame:

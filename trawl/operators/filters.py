@@ -42,14 +42,16 @@ def _any_match(c: Column, patterns: list[str]) -> Column:
     return m
 
 
+def is_excluded(patterns, url_col: str = "url") -> Column:
+    """B8 as a condition.  A URL urlparse rejects is not excluded (the reference catches the error)."""
+    return ~bad_authority(authority(url_col)) & _any_match(stripped_path(url_col), valid_patterns(patterns))
+
+
 def exclude_urls(df: DataFrame, patterns, url_col: str = "url") -> DataFrame:
     """Drop rows whose URL path, with slashes stripped from both ends,
     contains a match of any pattern (case-sensitive)."""
     pats = valid_patterns(patterns)
-    if not pats:
-        return df
-    # a URL urlparse rejects is not skipped (the reference catches the error)
-    return df.where(bad_authority(authority(url_col)) | ~_any_match(stripped_path(url_col), pats))
+    return df.where(~is_excluded(pats, url_col)) if pats else df
 
 
 def select_urls(df: DataFrame, pattern_text: str | None, url_col: str = "url") -> DataFrame:

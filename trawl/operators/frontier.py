@@ -4,7 +4,7 @@ The reference keeps ``discovered`` and ``processed`` as in-memory sets and
 walks the link graph breadth first.  Here both sets are DataFrames; one
 round of the walk is a join of the frontier with the edge table (C8), the
 same-domain filter (B7), a ``distinct`` and an anti join with what is
-already discovered (C3).  The loop runs at most ``max_depth`` rounds; each
+already discovered (C3).  The loop runs ``max_depth`` rounds or until nothing is new; each
 round's new URLs are written as a parquet table into the shared
 ``spark.checkpoint.dir`` and read back, which cuts the lineage, so a lost
 executor costs at most one round, not the whole walk.
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from trawl.functions.urls import authority, is_same_domain, normalize_url
 from trawl.session import checkpoint_dir, materialize
 
-BROADCAST_ROWS = 2_000_000       # frontier rows broadcast to the edge scan
-
 
 def url_set(df: DataFrame, col: str = "url") -> DataFrame:
     """A one-column distinct URL set."""
@@ -44,9 +42,8 @@ def pending_urls(discovered: DataFrame, processed: DataFrame) -> DataFrame:
     return discovered.select("url").distinct().join(processed.select("url"), "url", "left_anti")
 
 
-def discover(edges: DataFrame, seeds: DataFrame, base: str | None = None, max_depth: int = 3,
-             pages: DataFrame | None = None, src="src", dst="dst",
-             broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def discover(edges: DataFrame, seeds: DataFrame, base: str | None = None, max_depth: int | None = 3,
+             pages: DataFrame | None = None, src="src", dst="dst") -> DataFrame:
     """Breadth-first discovery from ``seeds`` over ``edges``.
 
     ``seeds``: one column ``url`` (sitemap URLs and the base URL, already
@@ -55,67 +52,45 @@ def discover(edges: DataFrame, seeds: DataFrame, base: str | None = None, max_de
     fetched (default: every ``src`` of ``edges``); a frontier URL outside it
     is an error node and is not processed.
 
-    Each round joins the frontier with the edge table.  The frontier's row
-    count is known (it was just written); up to ``broadcast_rows`` it is
-    broadcast, so the edge table is scanned in place and never shuffled;
-    beyond that Spark shuffles both sides on the URL.  For the "not yet
-    discovered" test the discovered set (its size is known) is broadcast while
-    it is within the bound; beyond it the round's distinct targets are
-    written and counted, and when they are small the large discovered set is
-    probed in place against them - it is never shuffled either way.
+    ``max_depth`` None follows links until nothing new is found.
+
+    Each round joins the frontier with the edge table, and its distinct targets
+    with what is discovered.  All sides are written tables, so Spark knows their
+    size on disk: it broadcasts a side under ``spark.sql.autoBroadcastJoinThreshold``
+    (the edges are then scanned in place) and shuffles both otherwise.
 
     Returns ``(url, depth, processed, error)``: depth of first discovery;
     URLs found in the last round are discovered but pending.
     """
     checkpoint_dir(edges.sparkSession)
-    # duplicates are harmless (each round's targets are de-duplicated), so
-    # the edge table is written as it comes, without a shuffle
+    # duplicates are harmless (each round's targets are de-duplicated), so the edge table is
+    # written as it comes, without a shuffle; sorted pieces let a round skip row groups
     e = materialize(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
-                    .where(F.col("dst").isNotNull()), "bfs-edges")
+                    .where(F.col("dst").isNotNull()).sortWithinPartitions("src"), "bfs-edges")
     if pages is not None:
         fetchable = materialize(url_set(pages), "bfs-pages")
     else:   # every source of an edge is a page; a URL without out-edges finds nothing
         fetchable = None
 
-    disc = materialize(url_set(seeds).withColumn("depth", F.lit(0)), "bfs-depth0")
-    frontier, n_front = disc, disc.count()
-    n_disc = n_front
+    disc = frontier = materialize(url_set(seeds).withColumn("depth", F.lit(0)), "bfs-depth0")
     depth = 0
-    while depth < max_depth:
+    while max_depth is None or depth < max_depth:
         fr = frontier.select("url")
         if fetchable is not None:
             fr = fr.join(fetchable, "url", "left_semi")
-        if n_front <= broadcast_rows:
-            fr = F.broadcast(fr)
         cand = e.join(fr, e["src"] == fr["url"]).select(F.col("dst").alias("url")).distinct()
         if base is not None:       # B7 on each distinct target once, not on every edge
             cand = cand.where(is_same_domain("url", F.lit(base)))
-        if n_disc <= broadcast_rows:
-            # the discovered set itself is within the bound: broadcast it
-            new = cand.join(F.broadcast(disc.select("url")), "url", "left_anti")
-        else:
-            cand = materialize(cand, f"bfs-cand{depth + 1}")
-            if cand.count() <= broadcast_rows:
-                # the large discovered set is probed in place against the
-                # broadcast candidates; it is never shuffled
-                seen = disc.select("url").join(F.broadcast(cand), "url", "left_semi")
-                new = cand.join(F.broadcast(seen), "url", "left_anti")
-            else:
-                new = cand.join(disc.select("url"), "url", "left_anti")
-        nxt = materialize(new.withColumn("depth", F.lit(depth + 1)), f"bfs-depth{depth + 1}")
+        new = cand.join(disc.select("url"), "url", "left_anti")
+        frontier = materialize(new.withColumn("depth", F.lit(depth + 1)), f"bfs-depth{depth + 1}")
         depth += 1
-        n_front = nxt.count()          # parquet footer count
-        if n_front == 0:
+        if frontier.isEmpty():
             break
-        disc = disc.unionByName(nxt)   # union of written pieces: short lineage
-        n_disc += n_front
-        frontier = nxt
+        disc = disc.unionByName(frontier)   # union of written pieces: short lineage
     rounds = depth
     if fetchable is None:
-        srcs = e.select(F.col("src").alias("url"))
-        if n_disc <= broadcast_rows:   # only sources among the discovered URLs
-            srcs = srcs.join(F.broadcast(disc.select("url")), "url", "left_semi")
-        fetchable = srcs.distinct()
+        # only sources among the discovered URLs
+        fetchable = e.select(F.col("src").alias("url")).join(disc.select("url"), "url", "left_semi").distinct()
     is_page = fetchable.withColumn("_ok", F.lit(True))
     return (disc.join(is_page, "url", "left")
             .select("url", "depth",

@@ -62,7 +62,8 @@ _LOCS = T.StructType([T.StructField("url", T.StringType()), T.StructField("loc",
 
 def _xml_locs(content: str) -> list[str]:
     root = ET.fromstring(content)
-    return [e.text for e in root.iter(f"{{{SITEMAP_NS}}}loc") if e.text]
+    # white space around the URL is layout, not part of it (the reference keeps it)
+    return [t for e in root.iter(f"{{{SITEMAP_NS}}}loc") if (t := (e.text or "").strip())]
 
 
 def _parse(batches):
@@ -98,10 +99,10 @@ def sitemap_locs(docs: DataFrame, base=None) -> DataFrame:
     return parsed.where(keep)
 
 
-def expand_sitemaps(docs: DataFrame, roots: DataFrame, max_rounds: int = 10, base=None) -> DataFrame:
+def expand_sitemaps(docs: DataFrame, roots: DataFrame, max_rounds: int | None = None, base=None) -> DataFrame:
     """T11 + G1: URLs found by following sitemaps from ``roots`` (column
     ``url``); every found loc that is itself a fetched document is followed
-    again, at most ``max_rounds`` deep, each sitemap once.  Returns the
+    again until no new one is found (or ``max_rounds`` deep), each sitemap once.  Returns the
     distinct normalised URLs (NULL ones dropped)."""
     checkpoint_dir(docs.sparkSession)
     edges = materialize(sitemap_locs(docs, base).where(F.col("error").isNull())

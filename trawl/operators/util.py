@@ -9,22 +9,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy per-row work (parsing, splitting, hashing, scoring) at
     least one partition per core.
 
-    A large input already arrives in many splits and is returned untouched;
-    only a small input that lands in fewer partitions than the cluster has
-    cores (one file with one row group, say) is spread round-robin, which
-    costs one shuffle of that small input.
+    A table of at least ``min_partitions`` files is returned untouched; an
+    input of fewer files (one small file, say) is spread round-robin, which
+    costs one shuffle of that input.  The file list is part of the plan: asking
+    for it runs no job and changes no setting.
     """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    # With adaptive execution on, asking an adaptive plan for its partitions
-    # runs its shuffle stages; the static plan answers without running anything.
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        have = df.rdd.getNumPartitions()
-    finally:
-        spark.conf.set(key, before)
-    if have >= want:
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= want:
         return df
     return df.repartition(want)

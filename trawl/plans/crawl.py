@@ -14,6 +14,8 @@ AS_OF = "2024-02-01 00:00:00"
 SPLIT_TS = "2024-01-16 00:00:00"       # upsert: earlier rows are the table, later ones the updates
 LOOKUP_URL = "https://s1.example.com/u/8"
 FILE_TYPE = "purchase"
+SKIP_PATTERN = "^u/[0-9]*3[0-9]$"
+SKIPPED = "regexp_matches(url, '^https?://[^/]*/u/[0-9]*3[0-9]$')"
 
 LOG = f"log as ({crawl_log_sql()})"
 LATEST = """latest as (
@@ -21,14 +23,28 @@ LATEST = """latest as (
     select *, row_number() over (partition by url order by ts desc, file_name desc) as rn from log) t
   where rn = 1)"""
 FILES = """files as (
-  select url, count(distinct file_type) as n_files from log
-  where file_name is not null and file_type is not null group by url)"""
+  select url, count(distinct file_name) as n_files from log where file_name is not null group by url)"""
 
 
 def _log(spark, sf_dir):
     return crawl_log_from_events(read_table(spark, sf_dir, "events"))
 
 
+# Metadata with the fields that page results carry, made from every log row
+META = """(case event_id % 4 when 0 then '{"STAGE_PATH":"d' || event_id || '/f.md"}'
+  when 1 then '{"MEDIA":[' || event_id || '],"LINKS":["l' || event_id || '"]}'
+  when 2 then '{"METADATA":{"title":"t' || event_id || '"},"STAGE_PATH":"s' || event_id || '"}'
+  else metadata end)"""
+META_LOG = f"mlog as (select * replace ({META} as metadata) from log)"
+META_LATEST = LATEST.replace("latest as", "mlatest as").replace("from log)", "from mlog)")
+STAGE_PREFIX = "@stage/"
+
+
+def _meta_log(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return log.withColumn("metadata", F.expr(META))
+
+
 def _results(spark, sf_dir):
     log = _log(spark, sf_dir)
     latest = C.latest_per_url(log).select("url", "success", "error_message")
@@ -87,37 +103,41 @@ def q_latest_per_url(spark, sf_dir):
 
 
 @query("crawl_result", oracle=f"""
-with {LOG}, {LATEST}
+with {LOG}, {META_LOG}, {META_LATEST}
 select url, coalesce(success, false) as success, error_message,
        coalesce(json_extract(metadata, '$.MEDIA')::varchar, '{{}}') as media,
        coalesce(json_extract(metadata, '$.LINKS')::varchar, '{{}}') as links,
        coalesce(json_extract(metadata, '$.METADATA')::varchar, '{{}}') as page_metadata
-from latest where url = '{LOOKUP_URL}'""")
+from mlatest where url = '{LOOKUP_URL}'""")
 def q_crawl_result(spark, sf_dir):
     """B2 + H17: point lookup of one URL's latest result."""
-    return C.crawl_result(_log(spark, sf_dir), LOOKUP_URL)
+    return C.crawl_result(_meta_log(spark, sf_dir), LOOKUP_URL)
 
 
 @query("saved_files", oracle=f"""
-with {LOG}
+with {LOG}, {META_LOG}
 select url, file_name, file_type, content_type, size, metadata,
        case when json_extract_string(metadata, '$.STAGE_PATH') is not null
-            then '@DOCUMENTATIONS/' || json_extract_string(metadata, '$.STAGE_PATH') end as file_path
-from log where file_type = '{FILE_TYPE}'""")
+            then '{STAGE_PREFIX}' || json_extract_string(metadata, '$.STAGE_PATH') end as file_path
+from mlog where file_type = '{FILE_TYPE}'""")
 def q_saved_files(spark, sf_dir):
     """B1 + B3 + B15 + F1: saved files of one type, newest first."""
-    return C.saved_files(_log(spark, sf_dir), file_type=FILE_TYPE)
+    return C.saved_files(_meta_log(spark, sf_dir), file_type=FILE_TYPE, stage_prefix=STAGE_PREFIX)
 
 
 @query("json_fields", oracle=f"""
-with {LOG}
+with {LOG}, {META_LOG}
 select event_id, cast(json_extract_string(metadata, '$.k') as bigint) as k,
-       coalesce(json_extract(metadata, '$.MEDIA')::varchar, '{{}}') as media from log""")
+       coalesce(json_extract(metadata, '$.MEDIA')::varchar, '{{}}') as media,
+       coalesce(json_extract(metadata, '$.LINKS')::varchar, '{{}}') as links,
+       coalesce(json_extract(metadata, '$.METADATA')::varchar, '{{}}') as page_metadata from mlog""")
 def q_json_fields(spark, sf_dir):
     """H16 + H17: fields of the JSON metadata column."""
-    log = _log(spark, sf_dir)
+    log = _meta_log(spark, sf_dir)
     return log.select("event_id", F.get_json_object("metadata", "$.k").cast("long").alias("k"),
-                      C.json_field("metadata", "MEDIA").alias("media"))
+                      C.json_field("metadata", "MEDIA").alias("media"),
+                      C.json_field("metadata", "LINKS").alias("links"),
+                      C.json_field("metadata", "METADATA").alias("page_metadata"))
 
 
 @query("result_rows", oracle=f"""
@@ -137,7 +157,17 @@ with {LOG}, {LATEST}
 select url, coalesce(error_message, '{C.UNKNOWN_ERROR}') as error from latest where not coalesce(success, false)""")
 def q_crawl_errors(spark, sf_dir):
     """Failed results with message."""
-    return C.crawl_errors(_results(spark, sf_dir))
+    return C.crawl_errors(C.latest_per_url(_log(spark, sf_dir)))
+
+
+@query("result_files", oracle=f"""
+with {LOG}, {LATEST}
+select distinct url, file_name from log
+where file_name is not null and url in (select url from latest where coalesce(success, false))""")
+def q_result_files(spark, sf_dir):
+    """Every saved file of every successful latest result."""
+    log = _log(spark, sf_dir)
+    return C.result_files(C.latest_per_url(log).select("url", "success"), log)
 
 
 @query("crawl_summary", oracle=f"""
@@ -152,17 +182,18 @@ def q_crawl_summary(spark, sf_dir):
 
 
 @query("crawl_metrics", oracle=f"""
-with {LOG}
-select cast(count_if(success) as bigint) as successful, cast(count_if(not success) as bigint) as failed, cast(0 as bigint) as skipped,
+with {LOG}, x as (select * from log where not ({SKIPPED}))
+select cast(count_if(success) as bigint) as successful, cast(count_if(not success) as bigint) as failed,
+       (select count(*) from log where {SKIPPED}) as skipped,
        cast(case when count(*) > 0 then (count(*) - 1) // 10 + 1 else 0 end as bigint) as total_batches,
        (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as duration,
        case when (epoch_us(max(ts)) - epoch_us(min(ts))) > 0
             then (count_if(success) + count_if(not success)) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6)
             else 0.0 end as urls_per_second
-from log""")
+from x""")
 def q_crawl_metrics(spark, sf_dir):
-    """D6 + H21: batch metrics over the whole log."""
-    return C.crawl_metrics(_log(spark, sf_dir), batch_size=10)
+    """D6 + H21: batch metrics over the whole log, URLs of users 30-39, 130-139 ... excluded."""
+    return C.crawl_metrics(_log(spark, sf_dir), batch_size=10, patterns=[SKIP_PATTERN])
 
 
 @query("merge_file_metadata", oracle=f"""
@@ -201,6 +232,17 @@ def q_with_batches(spark, sf_dir):
     return C.with_batches(C.cached_urls(_log(spark, sf_dir)), "url", 10, per="domain")
 
 
+@query("batched_log", oracle=f"""
+with {LOG}
+select event_id, url, metadata, file_name, size,
+       cast((row_number() over (partition by {S.authority('url')} order by url, event_id) - 1) // 10 + 1 as bigint) as batch
+from log""")
+def q_batched_log(spark, sf_dir):
+    """Every log row, with its payload, in batches of 10 per domain."""
+    b = C.with_batches(_log(spark, sf_dir), "url", 10, per="domain", ties=("event_id",))
+    return b.select("event_id", "url", "metadata", "file_name", "size", "batch")
+
+
 FETCH = """fetches as (select concat('https://s', cast(user_id % 7 as varchar), '.example.com/u/', cast(user_id as varchar)) as url,
        value / 100.0 as duration,
        case event_type when 'error' then 'error' when 'signup' then 'timeout' else 'ok' end as outcome from events)"""

@@ -42,7 +42,7 @@ def _results(spark, sf_dir):
         F.concat(F.lit("# "), F.col("text")).alias("markdown"),
         F.when(F.col("lang") == "en", F.col("text")).alias("raw_markdown"),
         F.when(F.col("lang") == "de", F.encode("text", "UTF-8")).alias("pdf"),
-        F.when(F.col("lang") == "fr", F.base64(F.encode(F.substring("text", 1, 100), "UTF-8"))).alias("screenshot"),
+        F.when(F.col("lang") == "fr", F.base64(F.encode(F.col("text"), "UTF-8"))).alias("screenshot"),
         media.cast(schemas.CRAWL_RESULT["media"].dataType).alias("media"),
         F.array().cast("array<string>").alias("links"),
         F.create_map().cast("map<string,string>").alias("metadata"))
@@ -63,7 +63,7 @@ a as (
   from (select url, text, 'img/' || source || case lang when 'en' then '.png' when 'de' then '.jpg' when 'fr' then '.GIF' else '' end as src,
                case lang when 'en' then '.png' when 'de' then '.jpg' when 'fr' then '.GIF' else '.png' end as ext from d) i
   union all
-  select url, sha256(url) || '.png', 'screenshot', 'image/png', cast(octet_length(encode(substring(text, 1, 100))) as bigint)
+  select url, sha256(url) || '.png', 'screenshot', 'image/png', cast(octet_length(encode(text)) as bigint)
   from d where lang = 'fr')"""
 
 

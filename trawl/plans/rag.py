@@ -16,6 +16,7 @@ from trawl.operators import rag as RG
 from trawl.operators import retrieve as RT
 from trawl.operators.crawl_log import orphan_chunks
 from trawl.plans.registry import query
+from trawl.session import scratch_path
 from trawl.sources.tables import read_table
 
 # Fixed values of the registered queries
@@ -34,8 +35,17 @@ def _chunks(spark, sf_dir):
     return CH.chunk_fixed(_docs(spark, sf_dir), SIZE, OVERLAP)
 
 
+_TABLES: dict[tuple[str, str], str] = {}
+
+
 def _embedded_chunks(spark, sf_dir):
-    return E.embed(_chunks(spark, sf_dir), "chunk_text", dim=DIM)
+    """The chunk table with its vectors, written once per application and read by all prompt queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        path = scratch_path(spark, "embedded-chunks")
+        E.embed(_chunks(spark, sf_dir), "chunk_text", dim=DIM).write.parquet(path)
+        _TABLES[key] = path
+    return spark.read.parquet(_TABLES[key])
 
 
 def _questions(spark, sf_dir):
@@ -117,6 +127,41 @@ def q_chunk_documents_client(spark, sf_dir):
     return CH.chunk_documents(_docs(spark, sf_dir), 512, 50, start=1)
 
 
+def _cover_sql(size):
+    """T7 at overlap 0: the chunks put together are the text, apart from white space, and none is too long."""
+    return f"""select doc_id, regexp_replace(text, '\\s+', '', 'g') as letters, true as fits from documents
+where text is not null and regexp_matches(text, '\\S')"""
+
+
+def _cover(chunks, size):
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("chunk_number", "chunk_text"))), lambda c: c["chunk_text"])
+    return chunks.groupBy("doc_id").agg(
+        F.regexp_replace(F.array_join(ordered, ""), r"\s+", "").alias("letters"),
+        (F.max(F.length("chunk_text")) <= size).alias("fits"))
+
+
+@query("chunk_cover", oracle=_cover_sql(5000))
+def q_chunk_cover(spark, sf_dir):
+    """What the server setting's chunks (no overlap) hold of every document."""
+    return _cover(CH.chunk_documents(_docs(spark, sf_dir), 5000, 0), 5000)
+
+
+@query("chunk_cover_client", oracle=_cover_sql(512))
+def q_chunk_cover_client(spark, sf_dir):
+    """The same for the client setting."""
+    return _cover(CH.chunk_documents(_docs(spark, sf_dir), 512, 0, start=1), 512)
+
+
+@query("chunk_cover_udtf", oracle=_cover_sql(512))
+def q_chunk_cover_udtf(spark, sf_dir):
+    """The same through the SQL table function."""
+    from trawl.functions.sql import register
+    register(spark)
+    _docs(spark, sf_dir).createOrReplaceTempView("trawl_documents")
+    return _cover(spark.sql("select d.doc_id, c.chunk_number, c.chunk_text "
+                            "from trawl_documents d, lateral chunk_text(d.text, 512, 0) c"), 512)
+
+
 @query("embed", headline=True, oracle=f"""
 with tok as (select doc_id, unnest(regexp_extract_all(lower(text), '{E.TOKEN_RX}')) as tok from documents where text is not null)
 select doc_id, {_bucket('tok')} as bucket, count(*) as cnt from tok group by all""")
@@ -130,26 +175,35 @@ def q_embed(spark, sf_dir):
                                              F.col("cnt").cast("long").alias("cnt"))
 
 
+def _buckets(vectors, *keys):
+    """The non-zero (bucket, count) pairs of token-hash vectors; one row of nulls where there is no vector."""
+    ex = vectors.select(*keys, F.posexplode_outer("vector").alias("bucket", "cnt"))
+    return ex.where("cnt > 0 or cnt is null").select(*keys, F.col("bucket").cast("long").alias("bucket"),
+                                                     F.col("cnt").cast("long").alias("cnt"))
+
+
 @query("update_embeddings", oracle=f"""
-with {SQL_CHUNKS}
-select c.doc_id, cast(c.chunk_number as integer) as chunk_number,
-       case when d.lang = 'en' then cast(len(regexp_extract_all(lower(c.chunk_text), '{E.TOKEN_RX}')) as bigint) end as n_tokens
-from chunks c join documents d on c.doc_id = d.doc_id""")
+with {SQL_CHUNKS},
+tok as (select doc_id, chunk_number, unnest(regexp_extract_all(lower(chunk_text), '{E.TOKEN_RX}')) as tok from chunks)
+select tok.doc_id, cast(chunk_number as integer) as chunk_number, {_bucket('tok')} as bucket, count(*) as cnt
+from tok join documents d on tok.doc_id = d.doc_id where d.lang = 'en' group by all
+union all
+select c.doc_id, cast(chunk_number as integer), null, null from chunks c join documents d on c.doc_id = d.doc_id where d.lang <> 'en'""")
 def q_update_embeddings(spark, sf_dir):
     """R2: refresh vectors of the chunks of English documents only."""
     docs = _docs(spark, sf_dir)
     ch = _chunks(spark, sf_dir).withColumn("vector", F.lit(None).cast("array<float>"))
     keys = docs.where(F.col("lang") == "en").select("doc_id")
     up = E.update_embeddings(ch, keys, key_col="doc_id", dim=DIM)
-    return up.select("doc_id", "chunk_number", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
-                     .cast("long").alias("n_tokens"))
+    return _buckets(up, "doc_id", "chunk_number")
 
 
 @query("sync_content", oracle=f"""
-with {SQL_CHUNKS}
-select '{DOC_URL}' || cast(c.doc_id as varchar) as source_id, cast(c.chunk_number as integer) as chunk_number,
-       cast(len(regexp_extract_all(lower(c.chunk_text), '{E.TOKEN_RX}')) as bigint) as n_tokens
-from chunks c join documents d on c.doc_id = d.doc_id where d.lang <> 'en'""")
+with {SQL_CHUNKS},
+tok as (select doc_id, chunk_number, unnest(regexp_extract_all(lower(chunk_text), '{E.TOKEN_RX}')) as tok from chunks)
+select '{DOC_URL}' || cast(tok.doc_id as varchar) as source_id, cast(chunk_number as integer) as chunk_number,
+       {_bucket('tok')} as bucket, count(*) as cnt
+from tok join documents d on tok.doc_id = d.doc_id where d.lang <> 'en' group by all""")
 def q_sync_content(spark, sf_dir):
     """Documents (as crawl log rows) without chunks are chunked and embedded;
     English ones are already chunked."""
@@ -158,8 +212,7 @@ def q_sync_content(spark, sf_dir):
     have = CH.chunk_fixed(docs.where(F.col("lang") == "en").select(F.col("url").alias("source_id"), "text"),
                           SIZE, OVERLAP, key="source_id")
     new = RG.sync_content(log, have, lambda d: CH.chunk_fixed(d, SIZE, OVERLAP, key="source_id"), dim=DIM)
-    return new.select("source_id", "chunk_number",
-                      F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).cast("long").alias("n_tokens"))
+    return _buckets(new, "source_id", "chunk_number")
 
 
 @query("orphan_chunks", oracle=f"""
@@ -215,16 +268,17 @@ select q.conv_id, q.turn,
        case when context is null then '{RG.NO_CONTEXT}'
             else 'answer to a prompt of ' || cast(length('Context:' || chr(10) || context || chr(10) || chr(10) || 'Query: ' || question) as varchar) || ' characters'
        end as generated_response,
-       coalesce(n_chunks, 0) as n_chunks, question as user_query
+       coalesce(n_chunks, 0) as n_chunks, question as user_query, coalesce(context, '') as chunk_texts
 from q left join ctx using (conv_id, turn)""")
 def q_response_records(spark, sf_dir):
     """R5 + R6: prompts answered by a stand-in model; records with default texts."""
     p = RG.build_prompts(_questions(spark, sf_dir), _embedded_chunks(spark, sf_dir), K,
                          q_cols=("conv_id", "turn"), key_cols=("doc_id", "chunk_number"), dim=DIM)
     rec = RG.response_records(RG.complete(p, _stub_model))
-    return rec.select("conv_id", "turn", "generated_response",
-                      F.coalesce(F.size("chunks"), F.lit(0)).cast("long").alias("n_chunks"),
-                      F.get_json_object("record", "$.user_query").alias("user_query"))
+    r = F.from_json("record", "generated_response string, chunks array<string>, user_query string")
+    return rec.select("conv_id", "turn", r.alias("r")).select(
+        "conv_id", "turn", "r.generated_response", F.size("r.chunks").cast("long").alias("n_chunks"), "r.user_query",
+        F.array_join("r.chunks", "\n\n").alias("chunk_texts"))
 
 
 @query("complete", oracle=f"""

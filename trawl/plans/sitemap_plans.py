@@ -19,6 +19,7 @@ from trawl.session import scratch_path
 from trawl.sources.tables import read_sitemaps, read_table
 
 URLS_PER_FILE = 50_000
+FOREIGN = "https://elsewhere.example.org/page"
 NS = SM.SITEMAP_NS
 
 
@@ -45,10 +46,22 @@ def sitemap_docs(pages):
                  F.array_join(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.concat(
                      F.lit("<sitemap><loc>"), site, F.lit("/sitemap-"), i.cast("string"), F.lit(".xml</loc></sitemap>"))), ""),
                  F.lit("</sitemapindex>")).alias("content"))
-    xml = urlset_docs.unionByName(index_docs).withColumn("content_type", F.lit("application/xml; charset=utf-8"))
+    # nested indexes that only robots.txt names; white space and a foreign host in the last one
+    def listing(tag, *locs):
+        return F.concat(F.lit(f'<{tag} xmlns="{NS}">'), *[x for loc in locs for x in (
+            F.lit("<url><loc>\n "), loc, F.lit(" </loc></url>"))], F.lit(f"</{tag}>"))
+    nested = parts.select(F.explode(F.array(
+        F.struct(F.concat(site, F.lit("/maps/extra.xml")).alias("url"),
+                 listing("sitemapindex", F.concat(site, F.lit("/maps/l1.xml"))).alias("content")),
+        F.struct(F.concat(site, F.lit("/maps/l1.xml")).alias("url"),
+                 listing("sitemapindex", F.concat(site, F.lit("/maps/l2.xml"))).alias("content")),
+        F.struct(F.concat(site, F.lit("/maps/l2.xml")).alias("url"),
+                 listing("urlset", F.concat(site, F.lit("/deep")), F.lit(FOREIGN)).alias("content"))
+    )).alias("d")).select("d.*")
+    xml = urlset_docs.unionByName(index_docs).unionByName(nested).withColumn("content_type", F.lit("application/xml; charset=utf-8"))
     robots = parts.select(F.concat(site, F.lit("/robots.txt")).alias("url"),
                           F.concat(F.lit("User-agent: *\nDisallow: /private\nsitemap: "), site,
-                                   F.lit("/sitemap_index.xml\n")).alias("content"),
+                                   F.lit("/sitemap_index.xml\nSitemap: /maps/extra.xml\nSITEMAP: news.xml\n")).alias("content"),
                           F.lit("text/plain").alias("content_type"))
     docs = xml.unionByName(robots)
     return docs.select("url", "content", SM.is_xml_content("content_type").alias("is_xml"),
@@ -70,10 +83,14 @@ _HOSTS = f"""hosts as (select lower({S.authority('url')}) as host, count(*) as n
 parts as (select host, unnest(range(0, cast(ceil(n / {URLS_PER_FILE}) as integer))) as part from hosts)"""
 
 
+_NESTED = f"""(values ('/maps/extra.xml', '/maps/l1.xml'), ('/maps/l1.xml', '/maps/l2.xml'),
+  ('/maps/l2.xml', '/deep'), ('/maps/l2.xml', '{FOREIGN}')) as nested(a, b)"""
+
+
 @query("sitemap_candidates", oracle=f"""
 with {_HOSTS}
 select distinct 'https://' || host as site, 'https://' || host || p as sitemap_url
-from hosts, (select unnest({SM.WELL_KNOWN!r}) as p) w""")
+from hosts, (select unnest({[*SM.WELL_KNOWN, '/maps/extra.xml', '/news.xml']!r}) as p) w""")
 def q_sitemap_candidates(spark, sf_dir):
     """T9 + H7: well-known sitemap paths and robots.txt sitemap lines per site."""
     return SM.sitemap_candidates(_sites(spark, sf_dir), _docs(spark, sf_dir))
@@ -85,7 +102,10 @@ select 'https://' || host || '/sitemap_index.xml' as url, 'https://' || host ||
 from parts
 union all
 select 'https://' || lower({S.authority('url')}) || '/sitemap-' || cast(page_id % cast(ceil(n / {URLS_PER_FILE}) as integer) as varchar) || '.xml', url
-from pages join hosts on lower({S.authority('url')}) = host""")
+from pages join hosts on lower({S.authority('url')}) = host
+union all
+select 'https://' || host || a, case when b like 'https:%' then b else 'https://' || host || b end
+from hosts, {_NESTED}""")
 def q_sitemap_locs(spark, sf_dir):
     """T10 + A7: sitemap documents stored as a table, read back with the
     fixed schema, every <loc> of every sitemap index and url set."""
@@ -98,13 +118,16 @@ def q_sitemap_locs(spark, sf_dir):
 with {_HOSTS}
 select distinct {S.normalize_url('u')} as url from (
   select 'https://' || host || '/sitemap-' || cast(part as varchar) || '.xml' as u from parts
-  union all select url from pages) t
+  union all select url from pages
+  union all select case when b like 'https:%' then b else 'https://' || host || b end from hosts, {_NESTED}) t
 where {S.normalize_url('u')} is not null""")
 def q_expand_sitemaps(spark, sf_dir):
     """T11 + G1: URLs found from each site's candidate sitemaps, nested sitemaps followed."""
-    roots = SM.sitemap_candidates(_sites(spark, sf_dir), _docs(spark, sf_dir)).select(
-        F.col("sitemap_url").alias("url"))
-    return SM.expand_sitemaps(_docs(spark, sf_dir), roots)
+    path = scratch_path(spark, "sitemaps")
+    _docs(spark, sf_dir).write.parquet(path)
+    docs = read_sitemaps(spark, path)
+    roots = SM.sitemap_candidates(_sites(spark, sf_dir), docs).select(F.col("sitemap_url").alias("url"))
+    return SM.expand_sitemaps(docs, roots)
 
 
 @query("html_sitemap_links", oracle=f"""

@@ -8,6 +8,7 @@ from trawl.functions import urls as U
 from trawl.operators import filters, frontier, links
 from trawl.plans import sqltext as S
 from trawl.plans.registry import query
+from trawl.session import scratch_path
 from trawl.sources.tables import link_graph_from_lineitem, link_graph_sql, read_table
 
 # Fixed values of the registered queries (parameters, not data subsets)
@@ -146,20 +147,26 @@ def q_link_lists(spark, sf_dir):
 
 @query("link_graph", oracle=f"""
 {_links_sql().replace('select * from l where dst is not null', '')},
-c as (select page_id, count(*) as n from l where dst is not null group by page_id)
-select p.page_id, p.url, coalesce(c.n, 0) as n_links,
+k as (select page_id, dst, {S.is_same_domain('dst', S.authority('url'))} as same from l join pages using (page_id) where dst is not null),
+c as (select page_id, string_agg(dst, ' ' order by dst) filter (where same) as same_domain,
+             string_agg(dst, ' ' order by dst) filter (where not same) as external from k group by page_id)
+select p.page_id, p.url, coalesce(same_domain, '') as same_domain, coalesce(external, '') as external,
        case when p.html is null then 'no content' end as error
 from pages p left join c on p.page_id = c.page_id""")
 def q_link_graph(spark, sf_dir):
     """One node per page with its out-degree and read error."""
     g = links.link_graph(_pages(spark, sf_dir))
-    return g.select("page_id", "url", (F.size("same_domain") + F.size("external")).cast("long").alias("n_links"),
-                    "error")
+    return g.select("page_id", "url", F.array_join(F.array_sort("same_domain"), " ").alias("same_domain"),
+                    F.array_join(F.array_sort("external"), " ").alias("external"), "error")
+
+
+_HAS_PAGE = ("(regexp_extract({u}, '/p/([0-9]+)$', 1) = '' "
+             "or coalesce(try_cast(regexp_extract({u}, '/p/([0-9]+)$', 1) as bigint), 0) % 7 <> 0)")
 
 
 def _bfs_sql():
     return f"""
-with recursive graph as ({link_graph_sql()}),
+with recursive graph as (select * from ({link_graph_sql()}) g where {_HAS_PAGE.format(u='src')}),
 r(url, depth) as (
   select '{GRAPH_SEED}', 0
   union
@@ -168,39 +175,57 @@ r(url, depth) as (
 d as (select url, cast(min(depth) as integer) as depth from r group by url)"""
 
 
+_WALKS: dict[tuple[str, str], str] = {}
+
+
+def _discovered(spark, sf_dir):
+    """The walk over the lineitem page graph, written once per application and shared by its queries.
+
+    Every seventh part has no page, so there are error nodes whose links are not followed.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WALKS:
+        g = link_graph_from_lineitem(read_table(spark, sf_dir, "lineitem"))
+        seeds = spark.createDataFrame([(GRAPH_SEED,)], "url string")
+        part = F.regexp_extract("src", "/p/([0-9]+)$", 1)
+        pages = g.where((part == "") | (F.expr("try_cast(regexp_extract(src, '/p/([0-9]+)$', 1) as bigint)") % 7 != 0)) \
+            .select(F.col("src").alias("url"))
+        path = scratch_path(spark, "discovered")
+        frontier.discover(g, seeds, GRAPH_DOMAIN, 3, pages=pages).write.parquet(path)
+        _WALKS[key] = path
+    return spark.read.parquet(_WALKS[key])
+
+
 @query("discover", headline=True, oracle=f"""
 {_bfs_sql()}
-select url, depth, depth < 3 as processed from d""")
+select url, depth, depth < 3 and {_HAS_PAGE.format(u='url')} as processed,
+       case when depth < 3 and not ({_HAS_PAGE.format(u='url')}) then 'not fetchable' end as error from d""")
 def q_discover(spark, sf_dir):
     """G6 (+ C3, C8, B7): 3-round breadth-first discovery on the lineitem page graph."""
-    g = link_graph_from_lineitem(read_table(spark, sf_dir, "lineitem"))
-    seeds = spark.createDataFrame([(GRAPH_SEED,)], "url string")
-    return frontier.discover(g, seeds, GRAPH_DOMAIN, 3).select("url", "depth", "processed")
+    return _discovered(spark, sf_dir).select("url", "depth", "processed", "error")
 
 
 @query("pending_urls", oracle=f"""
 {_bfs_sql()}
-select url from d where depth >= 3""")
+select url from d where depth >= 3 or not {_HAS_PAGE.format(u='url')}""")
 def q_pending_urls(spark, sf_dir):
     """Discovered minus processed after discovery."""
-    g = link_graph_from_lineitem(read_table(spark, sf_dir, "lineitem"))
-    seeds = spark.createDataFrame([(GRAPH_SEED,)], "url string")
-    d = frontier.discover(g, seeds, GRAPH_DOMAIN, 3)
+    d = _discovered(spark, sf_dir)
     return frontier.pending_urls(d.select("url"), d.where("processed").select("url"))
 
 
 @query("url_stats", oracle=f"""
 {_bfs_sql()}
-select count(*) as total_discovered, count(*) filter (where depth < 3) as total_processed,
-       count(*) filter (where depth >= 3) as pending,
-       count(distinct {S.authority('url')}) as domains
+select count(*) as total_discovered, count(*) filter (where depth < 3 and {_HAS_PAGE.format(u='url')}) as total_processed,
+       count(*) filter (where depth >= 3 or not {_HAS_PAGE.format(u='url')}) as pending,
+       count(distinct {S.authority('url')}) as domains,
+       90.0 as elapsed_seconds, count(*) / 90.0 as urls_per_second
 from d""")
 def q_url_stats(spark, sf_dir):
     """Discovery statistics."""
-    g = link_graph_from_lineitem(read_table(spark, sf_dir, "lineitem"))
-    seeds = spark.createDataFrame([(GRAPH_SEED,)], "url string")
-    d = frontier.discover(g, seeds, GRAPH_DOMAIN, 3)
-    return frontier.url_stats(d).select("total_discovered", "total_processed", "pending", "domains")
+    d = _discovered(spark, sf_dir)
+    return frontier.url_stats(d, start="2024-02-01 00:00:00", end="2024-02-01 00:01:30").select(
+        "total_discovered", "total_processed", "pending", "domains", "elapsed_seconds", "urls_per_second")
 
 
 @query("external_links", oracle=f"""
@@ -213,11 +238,9 @@ def q_external_links(spark, sf_dir):
 
 @query("mark_processed", oracle=f"""
 {_bfs_sql()}
-select url from d""")
+select url from d where depth <= 1 and {_HAS_PAGE.format(u='url')} or depth >= 3""")
 def q_mark_processed(spark, sf_dir):
-    """The processed set after marking the pending URLs as processed."""
-    g = link_graph_from_lineitem(read_table(spark, sf_dir, "lineitem"))
-    seeds = spark.createDataFrame([(GRAPH_SEED,)], "url string")
-    d = frontier.discover(g, seeds, GRAPH_DOMAIN, 3)
-    processed = d.where("processed").select("url")
-    return frontier.mark_processed(processed, frontier.pending_urls(d.select("url"), processed))
+    """The pages of the first two levels, and then the URLs of the last one marked as processed."""
+    d = _discovered(spark, sf_dir)
+    return frontier.mark_processed(d.where("processed and depth <= 1").select("url"),
+                                   d.where("depth >= 3").select("url"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -73,13 +74,16 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting is given by the cluster and always wins.  Only
-    when it is unset (local tests) a fresh folder under the system temp dir
-    is set, so that ``DataFrame.checkpoint()`` works.
+    On a cluster the setting is given by the cluster and always wins; without
+    it an error is raised, because a machine-local folder would lose rows there.
+    Only with a ``local`` master (tests) a fresh folder under the system temp dir is
+    set, so that ``DataFrame.checkpoint()`` works.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="trawl-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

@@ -79,14 +79,14 @@ from {events}"""
 
 def link_graph_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """A page graph (src, dst) from ``lineitem``: every line links its part
-    page to its supplier page and back.  All rows, distinct edges."""
-    from trawl.operators.util import spread
-    li = spread(lineitem.select("l_partkey", "l_suppkey"))
+    page to its supplier page and back.  All rows; repeated edges stay (the
+    walk de-duplicates each round's targets)."""
+    li = lineitem.select("l_partkey", "l_suppkey")
     p = F.concat(F.lit("https://g.example.com/p/"), F.col("l_partkey").cast("string"))
     s = F.concat(F.lit("https://g.example.com/s/"), F.col("l_suppkey").cast("string"))
     fwd = li.select(p.alias("src"), s.alias("dst"))
     back = li.select(s.alias("src"), p.alias("dst"))
-    return fwd.unionByName(back).distinct()
+    return fwd.unionByName(back)
 
 
 def link_graph_sql(lineitem: str = "lineitem") -> str:
