@@ -195,7 +195,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
                 found.add("")  # the empty feature counts the texts
                 seen.update(found)
                 toxic.update(found if y > 0 else ())
-        yield pd.DataFrame({"feature": list(seen), "n": list(seen.values()), "k": [toxic[f] for f in seen]})
+        yield pd.DataFrame([(f, n, toxic[f]) for f, n in seen.items()], columns=["feature", "n", "k"])
 
     counts = sample.mapInPandas(counted, "feature string, n long, k long") \
         .groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
