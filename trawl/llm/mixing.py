@@ -19,7 +19,7 @@ where its size on disk is under ``spark.sql.autoBroadcastJoinThreshold``, and ot
 
 Defined results: a null source or language is a category of its own; a null or word-less text has no tokens and
 probability 0; targets of categories that have no tokens are dropped and the rest scaled to 1; targets that the
-cells cannot meet end after ``MAX_CYCLES`` with the best fit found; repeated rows share one decision; an empty
+cells cannot meet end when the cycles come no nearer, with the fit found so far; repeated rows share one decision; an empty
 table gives an empty result; other columns pass through.
 """
 
@@ -45,6 +45,8 @@ KEEP = 0.3
 MAX_PAIRS = 2_000
 TOLERANCE = 1e-9
 MAX_CYCLES = 200
+#: Cycles after which the error must have fallen to less than a third.
+STALL = 20
 NONE = "(none)"
 
 
@@ -126,7 +128,7 @@ def rake(tokens: DataFrame, source_targets: dict[str, float] | None = None,
             dot = dot + F.col(f"n{j}") * F.lit(w)
         return F.when(dot > 0, F.col("target") / dot).otherwise(0.0)
 
-    cycles, error = 0, 0.0
+    cycles, error, errors = 0, 0.0, []
     while pairs and cycles < MAX_CYCLES:
         rows = wide.withColumn("a", factor()).agg(
             *[F.sum(F.col("a") * F.col(f"n{j}") * F.lit(w)).alias(f"s{j}") for j, w in enumerate(weights)]).first()
@@ -141,7 +143,9 @@ def rake(tokens: DataFrame, source_targets: dict[str, float] | None = None,
             mass = [m * ratio[p[at]] for p, m in zip(pairs, mass)]
             weights = [w * ratio[p[at]] for p, w in zip(pairs, weights)]
         cycles += 1
-        if error <= TOLERANCE:
+        errors.append(error)
+        # met; or the targets contradict the empty cells, and cycles no longer come nearer
+        if error <= TOLERANCE or cycles > STALL and error > 0.3 * errors[-1 - STALL]:
             break
     fitted = materialize(wide.withColumn("a", factor()), "mix-factors")
 
