@@ -7,13 +7,14 @@ import corpus_pipeline as C
 from tests.conftest import SMALL
 from tests.llm.odd import no_docs, odd_docs
 from tests.llm.test_simhash import brute_components, brute_fingerprint
-from trawl.llm import pii
+from trawl.llm import mixing, pii
 from trawl.llm.mixing import with_probability
 from trawl.llm.quality_rules import quality_rules
 from trawl.session import materialize
 
 
-def test_every_stage_on_the_table(spark):
+def test_every_stage_on_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-3)  # fewer cycles
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     stages = dict(C.STAGES)
     good = materialize(stages["quality rules"](spark, docs, SMALL), "t")

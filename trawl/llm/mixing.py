@@ -123,16 +123,17 @@ def rake(tokens: DataFrame, source_targets: dict[str, float] | None = None,
 
     def factor() -> Column:
         """The factor of a source that meets its target under the present pair weights."""
-        dot = F.lit(0.0)
-        for j, w in enumerate(weights):
-            dot = dot + F.col(f"n{j}") * F.lit(w)
+        # as one array the weights stay out of the generated code, which is then compiled once for all cycles
+        terms = F.zip_with(F.array(*[F.col(f"n{j}") for j in range(len(pairs))]),
+                           F.array(*[F.lit(w) for w in weights]), lambda n, w: n * w)
+        dot = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
         return F.when(dot > 0, F.col("target") / dot).otherwise(0.0)
 
     cycles, error, errors = 0, 0.0, []
     while pairs and cycles < MAX_CYCLES:
         rows = wide.withColumn("a", factor()).agg(
-            *[F.sum(F.col("a") * F.col(f"n{j}") * F.lit(w)).alias(f"s{j}") for j, w in enumerate(weights)]).first()
-        mass = list(rows)
+            *[F.sum(F.col("a") * F.col(f"n{j}")).alias(f"s{j}") for j in range(len(pairs))]).first()
+        mass = [s * w for s, w in zip(rows, weights)]
         error = 0.0
         for at, target in enumerate(want):
             now: dict[str, float] = {}
@@ -147,7 +148,7 @@ def rake(tokens: DataFrame, source_targets: dict[str, float] | None = None,
         # met; or the targets contradict the empty cells, and cycles no longer come nearer
         if error <= TOLERANCE or cycles > STALL and error > 0.3 * errors[-1 - STALL]:
             break
-    fitted = materialize(wide.withColumn("a", factor()), "mix-factors")
+    fitted = materialize(wide.withColumn("a", factor() if pairs else F.lit(0.0)), "mix-factors")
 
     # scale: tokens of cells whose probability reaches 1 are spent in full, the others in proportion
     scale, budget = 1.0, keep * total
