@@ -454,3 +454,28 @@ def test_discover_from_base_url_and_sitemaps(spark):
     got = {r.url: r.depth for r in frontier.discover_from(g, "g.example.com/p/1/", sm, max_depth=2).collect()}
     disc, _ = _py_bfs(edges, ["https://g.example.com/p/1", "https://g.example.com/s/2"], 2, {s for s, _ in edges})
     assert got == disc
+
+
+def test_a_task_passes_on_at_most_k_candidates_per_question(monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+    rng = np.random.default_rng(9)
+
+    def tiles(name, n, rows):
+        schema = pa.schema([pa.field(name, pa.int64())])
+        pdf = pd.DataFrame({name: range(n), "v": list(rng.normal(size=(n, 8)).astype(np.float32))})
+        return pdf, pd.concat(retrieve._pack_fn([name], "v", rows, schema)([pdf]), ignore_index=True)
+    chunks, t = tiles("key", 60, 10)
+    questions, q = tiles("q_id", 7, 7)
+    for c in t.columns:
+        t["t_" + c] = t[c]
+        t["q_" + c] = [q[c][0]] * len(t)
+    for held in (50_000, 30):
+        monkeypatch.setattr(retrieve, "HELD_ROWS", held)
+        fn = retrieve._kernel_fn(["q_id"], ["key"], ["q_id", "key", "similarity"], 3, None)
+        out = pd.concat(fn(iter([t.iloc[:3], t.iloc[3:]])), ignore_index=True)
+        best = out.sort_values(["q_id", "_ord", "key"], ascending=[True, False, True]).groupby("q_id").head(3)
+        a, b = np.stack(questions["v"]), np.stack(chunks["v"])
+        cos = (a @ b.T) / np.linalg.norm(a, axis=1)[:, None] / np.linalg.norm(b, axis=1)[None, :]
+        assert best["key"].tolist() == np.argsort(-cos, axis=1)[:, :3].ravel().tolist()
+        assert len(out) <= (7 * 3 if held > 100 else 7 * 3 * 2)
