@@ -50,6 +50,21 @@ def test_copies_of_one_page_survive(spark):
     assert {r.text for r in T.main_text(df).collect()} == {"The only text of this page"}
 
 
+def test_copies_of_a_long_page_survive(spark):
+    parts = "".join(f"<section><h2>Part {k}</h2><p>Text of part {k}</p><ul><li>item {k}</li></ul></section>" for k in range(4))
+    pages = {"https://a.org/": f"<article><h1>T</h1>{parts}</article>", "https://b.org/": f"<body><div>{parts}</div></body>"}
+    df = spark.createDataFrame([(k, u, page) for u, page in pages.items() for k in range(30)], "page_id long, url string, html string")
+    text = "\n".join(f"Part {k}\nText of part {k}\nitem {k}" for k in range(4))
+    assert {(r.url, r.text) for r in T.main_text(df).collect()} == {("https://a.org/", "T\n" + text), ("https://b.org/", text)}
+
+
+def test_a_menu_longer_than_the_article_goes(spark):
+    menu = "<div>" + "".join(f"<p>Long entry {k} of the site</p>" for k in range(20)) + "</div>"
+    df = spark.createDataFrame([(k, "https://a.org/%d" % k, f"<body>{menu}<p>Short text {k}</p></body>")
+                                for k in range(T.MIN_PAGES)], "page_id long, url string, html string")
+    assert {r.text for r in T.main_text(df).collect()} == {f"Short text {k}" for k in range(T.MIN_PAGES)}
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "no url", "<p>t</p>", "x"), (2, "https://A.org:80/p", "", "x"),
                                 (2, "https://A.org:80/p", "", "x"), (3, "https://a.org", "<p>" + "word " * 50_000, "x")],

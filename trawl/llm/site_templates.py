@@ -5,17 +5,17 @@
    are never main text by their meaning (navigation, footers, asides, forms, scripts, adverts, notices, reader
    comments ...) are left out at once, since the first page of a host must come out clean too.  If a page marks its
    article (else its main part), only blocks inside it count.
-2. Spark counts the pages of each (host, subtree); a subtree on ``MIN_PAGES`` pages or more is a template.
+2. Spark counts the pages of each (host, subtree); a subtree on ``MIN_PAGES`` pages or more is a template, whatever
+   its share of the text.  Pages are told apart by the digest of their kept text, so copies of one page count once.
 3. Blocks inside a template subtree are deleted.  Inside a marked article only containers can be templates, never
-   the paragraphs themselves: a passage that many articles quote is main text.  A container that holds most of the
-   page's text is no template either, so copies of one article survive.
+   the paragraphs themselves: a passage that many articles quote is main text.
 
 Only blocks inside candidate containers take part in the join with the templates; the text of all other pages is
 final after the first pass, whose result is written to the shared folder.  A hot host costs partial counts, and the
 join key is (host, subtree), whose hot values adaptive execution splits.
 
 Defined results: null html counts as empty and gives the empty text; a null or odd url gives the empty host;
-repeated rows are extracted one by one and count as pages one by one; extra columns are ignored.
+repeated rows are extracted one by one and count as one page; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,10 +31,8 @@ from pyspark.sql import functions as F
 
 from trawl.llm.common import materialize
 
-#: Pages of one host on which a subtree must recur to be a template.
+#: Pages of one host, of different text, on which a subtree must recur to be a template.
 MIN_PAGES = 10
-#: A subtree with more than this share of the kept text is no template.
-MAX_SHARE = 0.5
 
 # --- fixed values: HTML element kinds --------------------------------------------------------------------------------
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -88,13 +86,12 @@ def _not_text(tag: str, attrs: str, zone: int) -> bool:
 class _Frame:
     """An open element."""
 
-    __slots__ = ("tag", "dropped", "zone", "parts", "parent", "digest", "chars")
+    __slots__ = ("tag", "dropped", "zone", "parts", "parent", "digest")
 
     def __init__(self, tag: str, dropped: bool, zone: int, parent: _Frame | None):
         self.tag, self.dropped, self.zone, self.parent = tag, dropped, zone, parent
         self.parts: list[bytes] = []
         self.digest = 0
-        self.chars = 0
 
 
 def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], set[int]]:
@@ -200,17 +197,12 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], set[int]]:
 
     best = max((z for z, _, _ in blocks), default=0)
     kept = [(text, f) for z, text, f in blocks if z == best]
-    total = sum(len(t) for t, _ in kept)
-    for text, f in kept:
-        while f is not None:
-            f.chars += len(text)
-            f = f.parent
     out = []
     for text, f in kept:
         hashes = []
         while f is not None and f.tag not in _ROOT:
             allowed = f.tag in CONTAINERS if best else f.tag in BLOCKS and f.tag not in ("html", "body", "h1")
-            if allowed and f.digest in subtrees and f.chars <= MAX_SHARE * total:
+            if allowed and f.digest in subtrees:
                 hashes.append(f.digest)
             f = f.parent
         out.append((text, hashes))
@@ -218,23 +210,26 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], set[int]]:
 
 
 PARSED = "page_id long, url string, host string, text string, " \
-    "blocks array<struct<text: string, hashes: array<long>>>, subtrees array<long>"
+    "blocks array<struct<text: string, hashes: array<long>>>, digest long, subtrees array<long>"
 
 
 def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                  html_col: str = "html") -> DataFrame:
-    """Every page with its host and subtrees, and either its final text or its blocks."""
+    """Every page with its host, subtrees and digest of the kept text, and either its final text or its blocks."""
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            texts, blocks, trees = [], [], []
+            texts, blocks, digests, trees = [], [], [], []
             for page in pdf["html"]:
                 found, subtrees = parse(page)
                 open_ = any(h for _, h in found)
-                texts.append(None if open_ else "\n".join(t for t, _ in found))
+                text = "\n".join(t for t, _ in found)
+                digest = xxhash.xxh64(text.encode("utf-8", "surrogatepass")).digest()
+                digests.append(int.from_bytes(digest, "big", signed=True))
+                texts.append(None if open_ else text)
                 blocks.append([{"text": t, "hashes": h} for t, h in found] if open_ else None)
                 trees.append(sorted(subtrees))
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": pdf["host"], "text": texts,
-                                "blocks": blocks, "subtrees": trees})
+                                "blocks": blocks, "digest": digests, "subtrees": trees})
 
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")),
                                     r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -244,9 +239,9 @@ def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def site_templates(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, hash) of the subtrees that recur on at least ``min_pages`` pages of a host."""
-    return parsed.select("host", F.explode("subtrees").alias("hash")).groupBy("host", "hash") \
-        .agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages).select("host", "hash", "pages")
+    """(host, hash) of the subtrees that recur on at least ``min_pages`` pages of a host; copies count once."""
+    return parsed.select("host", "digest", F.explode("subtrees").alias("hash")).groupBy("host", "hash") \
+        .agg(F.count_distinct("digest").alias("pages")).filter(F.col("pages") >= min_pages).select("host", "hash", "pages")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
