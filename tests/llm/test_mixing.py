@@ -39,6 +39,27 @@ def test_marginals_meet_targets_like_plain_raking(spark, tokens):
     assert abs(expected - 0.01 * sum(n for *_, n in cells)) < 1e-6 * expected
 
 
+def leaky(spark, share, langs=4):
+    """20 sources with ``share`` of their tokens outside their main language."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for s in range(20):
+        total, topics = int(rng.integers(10 ** 6, 10 ** 8)), rng.dirichlet(np.ones(2))
+        for lang in range(langs):
+            part = 1 - share if lang == s % langs else share / (langs - 1)
+            rows += [(f"s{s}", f"l{lang}", f"t{t}", int(total * part * q)) for t, q in enumerate(topics)]
+    return spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long")
+
+
+def test_slow_tables_meet_their_targets(spark):
+    assert M.rake(leaky(spark, 1e-3)).error <= M.TOLERANCE
+
+
+def test_targets_that_cannot_be_met_are_reported(spark, caplog):
+    fit = M.rake(leaky(spark, 0.0))
+    assert fit.error > 1e-3 and fit.cycles < M.MAX_CYCLES and "cannot meet" in caplog.text
+
+
 def test_sample_follows_the_probabilities(spark):
     docs = spark.range(20_000).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"),

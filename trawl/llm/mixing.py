@@ -8,7 +8,9 @@ Only DataFrame functions: no Python, pandas or Arrow code runs on the executors.
 2. Raking: a cell's weight is ``a[source] * b[language] * c[topic]`` times its tokens.  For given ``b`` and ``c`` the
    source factor follows in the row itself (``a = target / sum``), so a whole cycle is one aggregate over the source
    table that returns one number per pair; the language and topic factors are updated from these few numbers.
-   Cycles end when all three marginals meet their targets within ``TOLERANCE``.
+   Cycles end when all three marginals meet their targets within ``TOLERANCE``.  Tables that come near slowly (most
+   sources have almost one language only) are extrapolated from the last cycles (Anderson's method on the logarithms
+   of the factors, with a plain cycle wherever the error grows).
 3. Calibration: a document is drawn with probability ``min(1, scale * a * b * c)``; ``scale`` is solved so that the
    expected number of tokens drawn is ``keep`` times all tokens (a few more aggregates over the source table).
 4. Sampling: the decision compares the probability with a uniform number made from the document id, so it is the
@@ -19,12 +21,17 @@ where its size on disk is under ``spark.sql.autoBroadcastJoinThreshold``, and ot
 
 Defined results: a null source or language is a category of its own; a null or word-less text has no tokens and
 probability 0; targets of categories that have no tokens are dropped and the rest scaled to 1; targets that the
-cells cannot meet end when the cycles come no nearer, with the fit found so far; repeated rows share one decision; an empty
-table gives an empty result; other columns pass through.
+cells provably cannot meet end when the cycles come no nearer, with the fit found so far; a fit that does not meet its
+targets is logged as a warning; repeated rows share one decision; an empty table gives an empty result; other columns
+pass through.
 """
 
 from __future__ import annotations
 
+import logging
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +52,13 @@ KEEP = 0.3
 MAX_PAIRS = 2_000
 TOLERANCE = 1e-9
 MAX_CYCLES = 200
-#: Cycles after which the error must have fallen to less than a third.
+#: Cycles of the raking, before an unmet fit is reported.
+MAX_RAKING = 5_000
+#: Plain cycles before extrapolation; also those in which the error of targets that cannot be met must fall to a third.
 STALL = 20
+#: Earlier cycles that an extrapolation uses, and the largest change of a logarithm in one.
+MEMORY = 5
+MAX_STEP = 5.0
 NONE = "(none)"
 
 
@@ -119,22 +131,43 @@ def rake(tokens: DataFrame, source_targets: dict[str, float] | None = None,
     raw_total = wide.agg(F.sum("raw")).first()[0] or 1.0
     wide = wide.withColumn("target", F.col("raw") / raw_total)
 
-    weights = [1.0] * len(pairs)
-
-    def factor() -> Column:
-        """The factor of a source that meets its target under the present pair weights."""
+    def factor(weights: list[float]) -> Column:
+        """The factor of a source that meets its target under the pair weights."""
         # as one array the weights stay out of the generated code, which is then compiled once for all cycles
         terms = F.zip_with(F.array(*[F.col(f"n{j}") for j in range(len(pairs))]),
                            F.array(*[F.lit(w) for w in weights]), lambda n, w: n * w)
         dot = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
         return F.when(dot > 0, F.col("target") / dot).otherwise(0.0)
 
-    cycles, error, errors = 0, 0.0, []
-    while pairs and cycles < MAX_CYCLES:
-        rows = wide.withColumn("a", factor()).agg(
-            *[F.sum(F.col("a") * F.col(f"n{j}")).alias(f"s{j}") for j in range(len(pairs))]).first()
-        mass = [s * w for s, w in zip(rows, weights)]
-        error = 0.0
+    # logarithms of the language and topic factors; categories whose target is 0 have the weight 0
+    live = [(at, k) for at in (0, 1) for k in sorted(want[at]) if want[at][k] > 0]
+    place = {c: i for i, c in enumerate(live)}
+    goal = np.array([want[at][k] for at, k in live])
+
+    def of_pairs(x: np.ndarray) -> list[float | None]:
+        """The sum of a vector over the categories of each pair (None: a category's target is 0)."""
+        return [float(x[place[0, p[0]]] + x[place[1, p[1]]]) if (0, p[0]) in place and (1, p[1]) in place else None
+                for p in pairs]
+
+    def gain(step: np.ndarray) -> Column:
+        """What a change of the logarithms must cost the sources at least."""
+        best = F.array_max(F.zip_with(
+            F.array(*[F.col(f"n{j}") for j in range(len(pairs))]),
+            F.array(*[F.lit(d).cast("double") for d in of_pairs(step)]), lambda n, d: F.when(n > 0, d)))
+        return F.sum(F.when(F.col("target") > 0, F.col("target") * F.coalesce(best, F.lit(-1e300))))
+
+    cycles, error, errors, impossible = 0, 0.0, [], False
+    x, step = np.zeros(len(live)), np.zeros(len(live))
+    points: list[tuple[np.ndarray, np.ndarray]] = []
+    nearest: tuple[float, np.ndarray] | None = None
+    while pairs and cycles < MAX_RAKING:
+        weights = [0.0 if v is None else math.exp(min(v, 700.0)) for v in of_pairs(x)]
+        *rows, cost = wide.withColumn("a", factor(weights)).agg(
+            *[F.sum(F.col("a") * F.col(f"n{j}")).alias(f"s{j}") for j in range(len(pairs))], gain(step)).first()
+        mass = [m * w for m, w in zip(rows, weights)]
+        # no factors meet the targets if some change of their logarithms gains without bound (Farkas)
+        impossible = impossible or float(goal @ step) - (cost or 0.0) > 1e-9 * float(np.abs(step).max(initial=0.0))
+        error, step = 0.0, np.zeros(len(live))
         for at, target in enumerate(want):
             now: dict[str, float] = {}
             for p, m in zip(pairs, mass):
@@ -142,13 +175,41 @@ def rake(tokens: DataFrame, source_targets: dict[str, float] | None = None,
             error = max([error, *(abs(now[k] - target.get(k, 0.0)) for k in now)])
             ratio = {k: target.get(k, 0.0) / v if v > 0 else 0.0 for k, v in now.items()}
             mass = [m * ratio[p[at]] for p, m in zip(pairs, mass)]
-            weights = [w * ratio[p[at]] for p, w in zip(pairs, weights)]
+            for k in now:
+                if (at, k) in place and ratio[k] > 0:
+                    step[place[at, k]] = math.log(ratio[k])
+                elif (at, k) in place:
+                    impossible = True  # no source reaches it
         cycles += 1
         errors.append(error)
         # met; or the targets contradict the empty cells, and cycles no longer come nearer
-        if error <= TOLERANCE or cycles > STALL and error > 0.3 * errors[-1 - STALL]:
+        if error <= TOLERANCE or impossible and cycles > STALL and error > 0.3 * errors[-1 - STALL]:
+            x = x + step
             break
-    fitted = materialize(wide.withColumn("a", factor() if pairs else F.lit(0.0)), "mix-factors")
+        if cycles <= STALL or impossible:
+            x = x + step
+            continue
+        if nearest is not None and error > 2 * nearest[0]:
+            points, x, nearest = [], nearest[1], None  # extrapolated too far: a plain cycle from the nearest point
+            continue
+        if nearest is None or error < nearest[0]:
+            nearest = error, x + step
+        points = [*points, (x, step)][-1 - MEMORY:]
+        move = step
+        if len(points) > 1:
+            dx = np.diff([q for q, _ in points], axis=0).T
+            ds = np.diff([q for _, q in points], axis=0).T
+            move = step - (dx + ds) @ np.linalg.lstsq(ds, step, rcond=1e-12)[0]
+            if not np.all(np.abs(move) <= MAX_STEP):
+                points, move = [], step
+        x = x + move
+    if cycles == MAX_RAKING and error > TOLERANCE and nearest is not None:
+        error, x = nearest
+    weights = [0.0 if v is None else math.exp(min(v, 700.0)) for v in of_pairs(x)] if pairs else []
+    if error > TOLERANCE:
+        logging.getLogger(__name__).warning("targets unmet by %.3g after %d cycles%s", error, cycles,
+                                            ": the cells cannot meet them" if impossible else "")
+    fitted = materialize(wide.withColumn("a", factor(weights) if pairs else F.lit(0.0)), "mix-factors")
 
     # scale: tokens of cells whose probability reaches 1 are spent in full, the others in proportion
     scale, budget = 1.0, keep * total
