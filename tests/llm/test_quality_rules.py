@@ -47,6 +47,23 @@ def test_odd_rows(spark):
     assert quality_rules(no_docs(spark)).count() == 0 and keep_good(no_docs(spark)).count() == 0
 
 
+def test_clean_texts_of_other_languages_stay(spark):
+    clean = {
+        "ru": "Вчера вечером мы долго гуляли по старому парку и говорили о книгах которые читали летом а потом вернулись домой пить чай с мёдом и вареньем",
+        "el": "Χθες το βράδυ περπατήσαμε στο παλιό πάρκο και μιλήσαμε για τα βιβλία που διαβάσαμε το καλοκαίρι και μετά γυρίσαμε στο σπίτι για να πιούμε τσάι",
+        "ar": "في مساء أمس مشينا طويلا في الحديقة القديمة وتحدثنا عن الكتب التي قرأناها في الصيف ثم عدنا إلى البيت لنشرب الشاي مع العسل",
+        "pl": "Wczoraj wieczorem długo spacerowaliśmy po starym parku i rozmawialiśmy o książkach które czytaliśmy latem potem zaś wróciliśmy pić herbatę z miodem oraz ciastem",
+        "id": "Kemarin malam kami berjalan lama di taman tua dan kami bicara soal buku yang kami baca pada musim panas dan lalu pulang ke rumah",
+    }
+    junk = " ".join(f"{w} " * 3 for w in ("inerst", "ble", "reou", "erhe", "thatan", "onre", "stea", "ghor"))
+    rows = [(k, t, lang) for lang, t in clean.items() for k in (lang, None)] + [(None, junk, "x1"), ("en", junk, "x2")]
+    docs = spark.createDataFrame(rows, "lang string, text string, doc_id string")
+    want = [(t, lang) for lang, t in clean.items()] * 2
+    assert sorted((r.text, r.doc_id) for r in keep_good(docs).collect()) == sorted(want)
+    assert keep_good(docs.drop("lang")).count() == len(want)
+    assert {r.doc_id for r in quality_rules(docs).collect() if r.kept} == set(clean)
+
+
 def test_no_user_function_and_no_shuffle(spark):
     plan = quality_rules(spark.read.parquet(f"{SMALL}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan

@@ -4,6 +4,10 @@ Every measure is a built-in column expression over the words and lines of the wh
 ``(measure, low, high)`` of the threshold table, and the verdict of a document is the conjunction of all rules.
 No user function, no shuffle, no join: the plan is scan -> project.
 
+The stop words are those of four languages; their rule says nothing about others.  It does not apply to a text whose
+language column (if there is one) names another language, that holds letters which none of the four writes, or whose
+short words come back all over the text as function words do (see :func:`uncovered`).
+
 Defined results: a null text counts as empty (no words); an empty text fails (fewer than ``MIN_WORDS`` words);
 repeated rows are judged one by one; extra columns pass through untouched in :func:`keep_good`.
 """
@@ -33,6 +37,13 @@ STOP_WORDS = {
            "para", "es", "al", "lo", "como", "a"],
 }
 
+#: Letters that the four languages write.
+COVERED_LETTERS = "A-Za-zÀÂÄÆÇÈÉÊËÎÏÑÔÖÙÛÜŸŒÁÍÓÚàâäæçèéêëîïñôöùûüÿœáíóúßẞªº"
+#: Share of other letters, or of words that are later mentions of a short word, from which a text is in another language.
+MIN_OTHER_LETTERS = 0.02
+MIN_REPEATED_SHORT = 0.05
+SHORT = r"^\p{L}{1,4}$"
+
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
@@ -107,8 +118,27 @@ def repeat_words(grams: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(F.array_distinct(grams)) < F.size(grams), covered).otherwise(F.lit(0)).cast("long")
 
 
-def measures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, Column]]:
+def uncovered(text: Column, words: Column, lang: Column | None) -> Column:
+    """Is this text, by its language column, letters or function words, in none of the languages of the stop words?
+
+    Function words of any language are short and come back; a short word that only follows itself does not count.
+    """
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    other = F.length(F.regexp_replace(text, rf"\P{{L}}+|[{COVERED_LETTERS}]+", ""))
+    changes = F.filter(F.transform(words, lambda w: F.lower(w)),
+                       lambda w, i: (i == 0) | (w != F.lower(F.coalesce(F.get(words, i - 1), F.lit("")))))
+    back = let(F.filter(changes, lambda w: w.rlike(SHORT)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    out = (letters > 0) & ((other >= MIN_OTHER_LETTERS * letters) | (back >= MIN_REPEATED_SHORT * F.size(words)))
+    if lang is not None:
+        code = F.regexp_extract(F.lower(lang.cast("string")), r"^\s*([a-z]{2,3})\b", 1)
+        out = out | F.coalesce((code != "") & ~code.isin(*STOP_WORDS), F.lit(False))
+    return out
+
+
+def measures(docs: DataFrame, text_col: str = "text",
+             lang_col: str | None = "lang") -> tuple[DataFrame, dict[str, Column]]:
     """``docs`` with the words and lines of each text, and the measures as expressions over them."""
+    lang = F.col(f"`{lang_col}`") if lang_col in docs.columns else None
     text, words, lines, grams, n, nl, reps = (fresh(docs.columns, x) for x in (
         "text__", "words__", "lines__", "grams__", "n_words__", "n_lines__", "n_repeat__"))
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
@@ -132,17 +162,20 @@ def measures(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[s
         "stop_words_per_word": F.size(F.filter(w, lambda x: F.lower(x).isin(stop))) / per_word,
         "dup_lines_per_line": dup / per_line,
         "repeat_words_per_word": F.col(reps) / per_word,
+        "uncovered": uncovered(t, w, lang),
     }
 
 
 def verdict(measure: dict[str, Column], rules: Sequence[Rule] = RULES) -> Column:
-    """The threshold table as one boolean expression."""
+    """The threshold table as one boolean expression; the stop-word rule passes in languages it does not cover."""
     out = F.lit(True)
     for r in rules:
+        one = F.lit(True)
         if r.low is not None:
-            out = out & (measure[r.measure] >= F.lit(r.low))
+            one = one & (measure[r.measure] >= F.lit(r.low))
         if r.high is not None:
-            out = out & (measure[r.measure] <= F.lit(r.high))
+            one = one & (measure[r.measure] <= F.lit(r.high))
+        out = out & (one | measure["uncovered"] if r.measure == "stop_words_per_word" else one)
     return out
 
 
@@ -152,15 +185,17 @@ def base_failed(measure: dict[str, Column]) -> Column:
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  rules: Sequence[Rule] = RULES) -> DataFrame:
+                  rules: Sequence[Rule] = RULES, lang_col: str | None = "lang") -> DataFrame:
     """One row per input row: the id, the counts, ``base_failed`` and ``kept``."""
-    df, m = measures(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), text_col)
+    cols = dict.fromkeys([id_col, text_col, *([lang_col] if lang_col in docs.columns else [])])
+    df, m = measures(docs.select(*[F.col(f"`{c}`") for c in cols]), text_col, lang_col)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), *[m[c].alias(c) for c in counts],
                      base_failed(m).alias("base_failed"), (~base_failed(m) & verdict(m, rules)).alias("kept"))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES,
+              lang_col: str | None = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    df, m = measures(docs, text_col)
+    df, m = measures(docs, text_col, lang_col)
     return df.filter(~base_failed(m) & verdict(m, rules)).select(*[F.col(f"`{c}`") for c in docs.columns])
