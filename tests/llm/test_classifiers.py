@@ -2,10 +2,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.odd import ROWS, no_docs, odd_docs
 from trawl.llm import quality_net as Q
 from trawl.llm import toxicity as T
+from trawl.llm.common import as_bool_learn
 
 
 def held_out(spark, sf, scores, label):
@@ -77,3 +79,15 @@ def test_counterfactual_penalty_frees_neutral_mentions():
     assert plain.score(a) - plain.score(b) > 0.1
     assert abs(fair.score(a) - fair.score(b)) < 0.3 * (plain.score(a) - plain.score(b))
     assert fair.score(a) < T.THRESHOLD <= fair.score("you stupid fool") and fair.score("a stupid christian, stupid") >= 0.5
+
+
+def test_sparse_and_repeated_labels_fill_the_sample(spark):
+    from trawl.llm.labelled import learn_sample
+
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"))
+    ids = [r.doc_id for r in docs.filter(as_bool_learn(F.col("doc_id"))).orderBy("doc_id").limit(3_000).collect()]
+    labels = docs.select("doc_id", F.when(F.col("doc_id") <= ids[-1], 1).alias("toxic"))
+    assert learn_sample(docs, labels, "toxic", 1_000).count() == 1_000  # most labels are null
+    twice = labels.filter("toxic = 1").unionByName(labels.filter("toxic = 1")).unionByName(labels.filter("toxic = 1"))
+    assert learn_sample(docs, twice, "toxic", 2_000).count() == 2_000
+    assert learn_sample(docs, labels, "toxic", 9_000).count() == 3_000

@@ -42,11 +42,14 @@ def as_bool_learn(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 != 1
 
 
-def bounded_sample(df: DataFrame, key: Column, rows: int, most: int) -> DataFrame:
+def bounded_sample(df: DataFrame, key: Column, rows: int, most: int, widen: bool = False) -> DataFrame:
     """The ``most`` rows with the smallest hash of ``key``, of a frame with about ``rows`` rows.
 
     A first cut by the hash leaves little more than ``most`` rows, so no task and no driver sees more than that.
+    With ``widen`` (for a frame that is cheap to count) the cut grows until it holds ``most`` rows, or all.
     """
     place = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30))
     cut = min(1 << 30, int((1.2 * most + 100) / max(1, rows) * (1 << 30)))
+    while widen and cut < 1 << 30 and df.filter(place < cut).count() < most:
+        cut = min(1 << 30, 2 * cut)
     return df.filter(place < cut).orderBy(place, key).limit(most)
