@@ -39,6 +39,17 @@ def test_names_keep_gender_script_and_case():
         P.surrogate(KEY, "surname", "kohl").title()) == 3
 
 
+def test_full_spaces_are_widened(spark):
+    ips = [f"192.168.{a}.{b}" for a in range(1, 255) for b in range(1, 160)]
+    mails = [f"{x}@x.de" for x in "abcdefghijklmnopqrstuvwxyz"] + [f"{x}@{y}.de" for x in "abc" for y in "abcdefghijklmnopqrstuvw"]
+    units = [*ips, *mails]
+    docs = spark.createDataFrame([(k, " ".join(units[k::100])) for k in range(100)], "doc_id long, text string")
+    new = [w for r in P.pseudonymize(docs, KEY).collect() for w in r.text.split(" ")]
+    assert len(new) == len(set(new)) == len(units) and not set(new) & set(units)
+    assert all(w.startswith(("192.168.", "10.", "fd")) or "@" in w for w in new)
+    assert P.detect("+10000 and +123456 are amounts") == []
+
+
 def test_the_key_decides():
     assert P.surrogate(b"a", "phone", "+13195555132") != P.surrogate(b"b", "phone", "+13195555132")
     assert P.surrogate(b"a", "phone", "+13195555132") == P.surrogate(b"a", "phone", "+13195555132")

@@ -9,7 +9,8 @@ A surrogate is a pure function of (key, kind, value, attempt): digits stay digit
 script and case, separators, country code, card issuer digit and checksum validity stay, given names keep the
 gender.  The corpus decides the attempt: all units are brought together once as distinct rows, a surrogate that
 equals an original unit or another unit's surrogate is rejected and its unit tries the next attempt, until none is
-left.  Nearly every unit keeps attempt 0, so documents are rewritten in place; only the exceptions are joined back,
+left.  From attempt ``WIDER`` on the space grows: numbers and addresses get longer, IP addresses move to another private
+range and at last to IPv6, so units are placed however full a space of values is.  Nearly every unit keeps attempt 0, so documents are rewritten in place; only the exceptions are joined back,
 by digest of the text.
 
 Defined results: null text stays null, empty text stays empty, equal texts get equal results (repeated rows stay
@@ -32,6 +33,11 @@ from trawl.llm.common import fresh, materialize, text_or_empty
 #: Stands in where the caller gives no key; pass your own secret key in production.
 DEMO_KEY = b"replace this key"
 
+#: Attempts from which surrogates leave the form of their unit, and IP addresses that of IPv4.
+WIDER, WIDEST = 8, 16
+#: Digits that a number with a plus sign has at least.
+MIN_PHONE = 7
+
 # --- fixed values: forms of address, and names by script and gender ------------------------------------------------
 TITLES = {
     "m": ["Mr", "Mister", "Herr", "Herrn", "Monsieur", "M", "Señor", "Sr", "Don", "Sir", "господин", "κύριος"],
@@ -123,7 +129,10 @@ def _numbers(text: str, taken: list[tuple[int, int]]) -> list[Span]:
             continue
         for start in (at - 2, at - 1, at):
             if start >= end and (m := _NUMBER.match(text, start)) and m.end() > at:
-                out.append((start, m.end(), m.lastgroup, canonical(m.lastgroup, m.group())))
+                value = canonical(m.lastgroup, m.group())
+                if m.lastgroup == "phone" and len(value.lstrip("+")) < MIN_PHONE:
+                    continue
+                out.append((start, m.end(), m.lastgroup, value))
                 end = m.end()
                 break
     return out
@@ -206,14 +215,20 @@ def _letters(value: str, s: Iterator[int]) -> str:
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The canonical surrogate of a unit."""
     s = _stream(key, kind, value, attempt)
+    longer = max(0, attempt - WIDER + 1)  # characters beyond the form
     if kind == "email":
         local, domain = value.rsplit("@", 1)
         labels, top = domain.rsplit(".", 1)
         # the domain has its own stream: addresses of one domain stay together
-        return f"{_letters(local, s)}@{_letters(labels, _stream(key, 'domain', domain, 0))}.{top}"
+        return f"{_letters(local + 'a' * longer, s)}@{_letters(labels, _stream(key, 'domain', domain, 0))}.{top}"
     if kind == "ip":
         a = [int(x) for x in value.split(".")]
         kept = 2 if a[:2] == [192, 168] else 1 if a[0] in (0, 10, 127) or a[0] >= 224 else 0
+        if attempt >= WIDEST:  # a private address stays private, others come from the range for documentation
+            head = [0xfd00 + next(s) % 256, next(s)] if kept else [0x2001, 0x0db8]
+            return ":".join(f"{x:x}" for x in [*head, *(next(s) for _ in range(6))])
+        if attempt >= WIDER and kept == 2:
+            a, kept = [10], 1
         new = a[:kept] + [next(s) % 254 + 1 for _ in range(4 - kept)]
         if not kept:  # a public address stays public
             new[0] = [x for x in range(1, 224) if x not in (10, 127, 169, 172, 192, 198, 203)][new[0] % 216]
@@ -222,7 +237,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         plus = value.startswith("+")
         d = value[1:] if plus else value
         head = d[:1] if kind == "card" else d[:max(1, len(d) - 10)] if plus else ""
-        body = [next(s) % 10 for _ in d[len(head):]]
+        body = [next(s) % 10 for _ in range(len(d) - len(head) + longer)]
         if body and kind != "card" and d[len(head)] not in "01":
             body[0] = 2 + body[0] % 8
         new = head + "".join(map(str, body))
@@ -231,7 +246,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
             new = new[:-1] + str(check if _luhn(d) == 0 else (check + 1 + next(s) % 9) % 10)
         return ("+" if plus else "") + new
     if kind == "iban":
-        body = "".join(str(next(s) % 10) if c.isdigit() else chr(65 + next(s) % 26) for c in value[4:])
+        body = "".join(str(next(s) % 10) if c.isdigit() else chr(65 + next(s) % 26) for c in value[4:] + "0" * longer)
         rest = int("".join(str(int(c, 36)) for c in body + value[:2] + "00"))
         return f"{value[:2]}{98 - rest % 97:02d}{body}"
     # names: one name of the pool, one more joined to it with each further attempt
