@@ -68,6 +68,18 @@ def test_collisions_are_resolved_and_mentions_agree(spark):
     assert [got[1000 + k] for k in range(len(names))] == [f"I saw Mrs {s} again" for s in surnames]
 
 
+def test_one_given_name_has_one_surrogate(spark):
+    names = [f"{a}{b}" for a in ("Xa", "Qui", "Zo", "Vla", "Ybe") for b in ("vier", "mund", "bert", "dor", "wen", "rik")]
+    docs = spark.createDataFrame([(k, t + " Foo", n) for n in names for k, t in enumerate((f"Dr {n}", f"Mr {n}"))]
+                                 + [(2, f"Dr {n}a Foo", n + "a") for n in names] + [(3, f"Mrs {n}e Foo", n + "e") for n in names],
+                                 "doc_id long, text string, name string")
+    new = {}
+    for r in P.pseudonymize(docs, KEY).collect():
+        new.setdefault(r.name, set()).add(r.text.split(" ")[1])
+    assert all(len(x) == 1 for x in new.values())
+    assert len({x for xs in new.values() for x in xs}) == len(new) == 90
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     out = P.pseudonymize(docs, KEY, count_col="n_mentions")

@@ -7,7 +7,7 @@ known given name before a capitalised surname; later bare mentions of such a sur
 
 A surrogate is a pure function of (key, kind, value, attempt): digits stay digits, letters stay letters of the same
 script and case, separators, country code, card issuer digit and checksum validity stay, given names keep the
-gender.  The corpus decides the attempt: all units are brought together once as distinct rows, a surrogate that
+gender (one per name in the whole corpus: a known one wins, contradictory ones count as none).  The corpus decides the attempt: all units are brought together once as distinct rows, a surrogate that
 equals an original unit or another unit's surrogate is rejected and its unit tries the next attempt, until none is
 left.  From attempt ``WIDER`` on the space grows: numbers and addresses get longer, IP addresses move to another private
 range and at last to IPv6, so units are placed however full a space of values is.  Nearly every unit keeps attempt 0, so documents are rewritten in place; only the exceptions are joined back,
@@ -272,14 +272,17 @@ def dress(kind: str, raw: str, new: str) -> str:
     return new.upper() if raw.isupper() and len(raw) > 1 else new.title()
 
 
-def rewrite(text: str | None, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str | None, int]:
-    """The text with every unit replaced, and the number of mentions."""
+def rewrite(text: str | None, key: bytes,
+            attempts: dict[tuple[str, str], tuple[str, int]]) -> tuple[str | None, int]:
+    """The text with every unit replaced, and the number of mentions; ``attempts`` are the (kind, attempt) of units
+    that keep not their own kind or not attempt 0."""
     spans = detect(text)
     if not spans:
         return text, 0
     out, at = [], 0
     for a, b, kind, value in spans:
-        out += [text[at:a], dress(kind, text[a:b], surrogate(key, kind, value, attempts.get((kind, value), 0)))]
+        as_kind, attempt = attempts.get((kind, value), (kind, 0))
+        out += [text[at:a], dress(kind, text[a:b], surrogate(key, as_kind, value, attempt))]
         at = b
     return "".join(out) + text[at:], len(spans)
 
@@ -299,30 +302,44 @@ def find_units(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .mapInPandas(batches, "digest string, kind string, value string").distinct()
 
 
+def resolve_given(units: DataFrame) -> DataFrame:
+    """(kind, value, as_kind) of distinct units: every given name gets one kind, whatever its mentions say."""
+    is_given = F.col("kind").startswith("given_")
+    f, m = (F.array_contains("kinds", f"given_{g}") for g in "fm")
+    # three kinds at most
+    names = units.filter(is_given).groupBy("value").agg(F.collect_set("kind").alias("kinds")) \
+        .select(F.explode("kinds").alias("kind"), "value",
+                F.when(f & ~m, "given_f").when(m & ~f, "given_m").otherwise("given_n").alias("as_kind"))
+    return units.filter(~is_given).select("kind", "value", F.col("kind").alias("as_kind")).unionByName(names)
+
+
 def assign_attempts(units: DataFrame, key: bytes, max_rounds: int = 64) -> DataFrame:
     """(kind, value, attempt) of the units whose first surrogate is not free; all others keep attempt 0.
 
-    A surrogate is free if it equals no original unit of its kind and no surrogate given before; of several units
-    that want the same one, the smallest gets it.
+    A surrogate is free if it equals no original unit of its kind and no surrogate given before (given names count
+    as one kind); of several units that want the same one, the smallest gets it.
     """
+    space = F.when(F.col("kind").startswith("given_"), "given").otherwise(F.col("kind")).alias("space")
+
     def proposed(pending: DataFrame, attempt: int) -> DataFrame:
         def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
                 yield pdf.assign(sur=[surrogate(key, k, v, attempt) for k, v in zip(pdf["kind"], pdf["value"])])
         return pending.mapInPandas(batches, "kind string, value string, sur string")
 
-    taken = units.select("kind", F.col("value").alias("sur"))
+    taken = units.select(space, F.col("value").alias("sur"))
     pending, late = units, []
     for attempt in range(max_rounds):
-        want = materialize(proposed(pending, attempt), "surrogates")
-        won = materialize(want.join(taken, ["kind", "sur"], "left_anti")
-                          .groupBy("kind", "sur").agg(F.min("value").alias("value")), "surrogates-won")
+        want = materialize(proposed(pending, attempt).select("*", space), "surrogates")
+        won = materialize(want.join(taken, ["space", "sur"], "left_anti").groupBy("space", "sur")
+                          .agg(F.min(F.struct("value", "kind")).alias("unit")).select("space", "sur", "unit.*"),
+                          "surrogates-won")
         if attempt:
             late.append(won.select("kind", "value", F.lit(attempt).alias("attempt")))
         lost = materialize(want.select("kind", "value").join(won, ["kind", "value"], "left_anti"), "surrogates-lost")
         if lost.isEmpty():
             break
-        pending, taken = lost, taken.unionByName(won.select("kind", "sur"))
+        pending, taken = lost, taken.unionByName(won.select("space", "sur"))
     else:
         raise RuntimeError("no free surrogates left")
     none = units.select("kind", "value", F.lit(0).alias("attempt")).limit(0)
@@ -335,17 +352,21 @@ def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text",
                  count_col: str | None = None) -> DataFrame:
     """``docs`` with every unit replaced in ``text_col`` (and the number of mentions in ``count_col``)."""
     found = materialize(find_units(docs, text_col), "pii-units")
-    late = materialize(assign_attempts(found.select("kind", "value").distinct(), key), "pii-late")
+    units = materialize(resolve_given(found.select("kind", "value").distinct()), "pii-distinct")
+    late = materialize(assign_attempts(units.select(F.col("as_kind").alias("kind"), "value").distinct(), key), "pii-late")
+    late = late.withColumnRenamed("kind", "as_kind")
+    odd = units.join(late, ["as_kind", "value"]).unionByName(
+        units.filter("kind <> as_kind").join(late, ["as_kind", "value"], "left_anti").withColumn("attempt", F.lit(0)))
     # a document's own exceptions only: bounded by the text they come from
     digest, given, out = (fresh(docs.columns, x) for x in ("digest__", "late__", "rewritten__"))
-    amend = materialize(found.join(late, ["kind", "value"]).groupBy(F.col("digest").alias(digest))
-                        .agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(given)), "pii-amend")
+    amend = materialize(found.join(odd, ["kind", "value"]).groupBy(F.col("digest").alias(digest))
+                        .agg(F.collect_list(F.struct("kind", "value", "as_kind", "attempt")).alias(given)), "pii-amend")
 
     @F.pandas_udf("text string, n long")
     def rewritten(text: pd.Series, late_units: pd.Series) -> pd.DataFrame:
         rows = []
         for t, own in zip(text, late_units):
-            own = {} if own is None else {(u["kind"], u["value"]): u["attempt"] for u in own}
+            own = {} if own is None else {(u["kind"], u["value"]): (u["as_kind"], u["attempt"]) for u in own}
             rows.append(rewrite(t, key, own))
         return pd.DataFrame(rows, columns=["text", "n"])
 
