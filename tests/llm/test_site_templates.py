@@ -58,6 +58,27 @@ def test_copies_of_a_long_page_survive(spark):
     assert {(r.url, r.text) for r in T.main_text(df).collect()} == {("https://a.org/", "T\n" + text), ("https://b.org/", text)}
 
 
+def test_class_words_inside_an_article_need_recurrence(spark):
+    page = """<body><article><div class="entry-header"><h1>Head %d</h1></div><h2 id="related-work">Related work</h2><p>Text %d</p>
+<section id="search-results"><p>Found %d</p></section><p class="notice">Note %d</p><p class="newsletter">Subscribe</p></article></body>"""
+    n = T.MIN_PAGES
+    df = spark.createDataFrame([(k, "https://a.org/%d" % k, page % (k, k, k, k)) for k in range(n)]
+                               + [(n, "https://b.org/", page % (n, n, n, n))], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in T.main_text(df).collect()}
+    assert got[n] == f"Head {n}\nRelated work\nText {n}\nFound {n}\nNote {n}\nSubscribe"
+    # on many pages of a host: a notice that recurs goes, the rest stays
+    assert got[3] == "Head 3\nText 3\nFound 3\nNote 3"
+
+
+def test_a_teaser_card_is_not_the_article():
+    card = "<article><p>Teaser</p></article>"
+    text = "<p>A long main text that stands outside of the card</p>"
+    want = ["A long main text that stands outside of the card", "Teaser"]
+    assert texts(f"<body><p>around</p><main>{text}{card}</main></body>") == want
+    assert texts(f"<body><div>{text}</div>{card}</body>") == want
+    assert texts(f"<body><p>around</p><main><article>{text}</article><p>More</p></main></body>") == want[:1]
+
+
 def test_a_menu_longer_than_the_article_goes(spark):
     menu = "<div>" + "".join(f"<p>Long entry {k} of the site</p>" for k in range(20)) + "</div>"
     df = spark.createDataFrame([(k, "https://a.org/%d" % k, f"<body>{menu}<p>Short text {k}</p></body>")

@@ -3,8 +3,10 @@
 1. One pass parses every page (a streaming tokenizer, no tree is kept).  Each element's subtree is hashed bottom-up
    over its tags and its text; text is cut into blocks at block elements, with white space folded.  Elements that
    are never main text by their meaning (navigation, footers, asides, forms, scripts, adverts, notices, reader
-   comments ...) are left out at once, since the first page of a host must come out clean too.  If a page marks its
-   article (else its main part), only blocks inside it count.
+   comments ...) are left out at once, since the first page of a host must come out clean too; inside the marked
+   article or main part their tag and role decide, and class or id words only where the subtree recurs (2.).  If a
+   page marks its main part, only blocks inside it count, and only those of its articles if they hold ``ROOT_SHARE``
+   of that text.
 2. Spark counts the pages of each (host, subtree); a subtree on ``MIN_PAGES`` pages or more is a template, whatever
    its share of the text.  Pages are told apart by the digest of their kept text, so copies of one page count once.
 3. Blocks inside a template subtree are deleted.  Inside a marked article only containers can be templates, never
@@ -34,6 +36,9 @@ from trawl.llm.common import materialize
 #: Pages of one host, of different text, on which a subtree must recur to be a template.
 MIN_PAGES = 10
 
+#: Articles that hold this share of the text of the main part (of the page, if none is marked) are the main text.
+ROOT_SHARE = 0.5
+
 # --- fixed values: HTML element kinds --------------------------------------------------------------------------------
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -62,15 +67,29 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]
                   r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
-_ROOT = {"article": 2, "main": 1}
+_ROOT = {"article", "main"}
+#: Class or id that names reader comments, also inside an article: they recur on no other page.
+COMMENTS = "comments"
+# zones: text outside the main part, in it, in an article outside it, in an article in it
+OUTSIDE, MAIN, ARTICLE, BOTH = range(4)
+
+
+def _zone(tag: str, zone: int) -> int:
+    """The zone inside an element that stands in ``zone``."""
+    if tag == "main":
+        return MAIN if zone < ARTICLE else BOTH
+    if tag == "article":
+        return BOTH if zone in (MAIN, BOTH) else ARTICLE
+    return zone
 
 
-def _not_text(tag: str, attrs: str, zone: int) -> bool:
-    """Is this element, by its meaning, no main text?"""
-    if tag in NOT_TEXT or tag == "header" and zone < 2:
+def _not_text(tag: str, attrs: str, zone: int) -> bool | None:
+    """Is this element, by its meaning, no main text?  None: by its class or id words alone, inside the main text."""
+    if tag in NOT_TEXT or tag == "header" and zone < ARTICLE:
         return True
     if not attrs:
         return False
+    out: bool | None = False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -79,17 +98,19 @@ def _not_text(tag: str, attrs: str, zone: int) -> bool:
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main") \
                 and not NOT_TEXT_WORDS.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+            if zone == OUTSIDE or COMMENTS in value.split():
+                return True
+            out = None
+    return out
 
 
 class _Frame:
     """An open element."""
 
-    __slots__ = ("tag", "dropped", "zone", "parts", "parent", "digest")
+    __slots__ = ("tag", "dropped", "marked", "zone", "parts", "parent", "digest")
 
-    def __init__(self, tag: str, dropped: bool, zone: int, parent: _Frame | None):
-        self.tag, self.dropped, self.zone, self.parent = tag, dropped, zone, parent
+    def __init__(self, tag: str, dropped: bool, marked: bool, zone: int, parent: _Frame | None):
+        self.tag, self.dropped, self.marked, self.zone, self.parent = tag, dropped, marked, zone, parent
         self.parts: list[bytes] = []
         self.digest = 0
 
@@ -97,7 +118,7 @@ class _Frame:
 def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], set[int]]:
     """The kept blocks in order, each with the hashes of the containers that may be templates, and all subtree hashes
     of the page."""
-    root = _Frame("", False, 0, None)
+    root = _Frame("", False, False, OUTSIDE, None)
     top, subtrees = root, set()
     blocks: list[tuple[int, str, _Frame]] = []
     buffer: list[str] = []
@@ -178,8 +199,9 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], set[int]]:
             if tag in ("br", "wbr") and not top.dropped:
                 buffer.append(" " if tag == "br" else "")
             continue
-        zone = max(top.zone, _ROOT.get(tag, 0))
-        dropped = top.dropped or _not_text(tag, attrs, top.zone)
+        zone = _zone(tag, top.zone)
+        no_text = _not_text(tag, attrs, top.zone)
+        dropped = top.dropped or bool(no_text)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             stop = end.start() if end else len(page)
@@ -189,19 +211,26 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], set[int]]:
             continue
         if attrs.rstrip().endswith("/") and tag in ("path", "use", "circle", "rect"):
             continue
-        top = _Frame(tag, dropped, zone, top)
+        top = _Frame(tag, dropped, no_text is None, zone, top)
     flush()
     while top.parent is not None:
         flush()
         close()
 
-    best = max((z for z, _, _ in blocks), default=0)
-    kept = [(text, f) for z, text, f in blocks if z == best]
+    chars = [0] * 4
+    for z, text, _ in blocks:
+        chars[z] += len(text)
+    around = MAIN if chars[MAIN] + chars[BOTH] else OUTSIDE
+    articles = chars[ARTICLE] + chars[BOTH]
+    zones = {ARTICLE, BOTH} if articles and articles >= ROOT_SHARE * (articles + chars[around]) \
+        else {ARTICLE, BOTH, around}
     out = []
-    for text, f in kept:
+    for z, text, f in blocks:
+        if z not in zones:
+            continue
         hashes = []
         while f is not None and f.tag not in _ROOT:
-            allowed = f.tag in CONTAINERS if best else f.tag in BLOCKS and f.tag not in ("html", "body", "h1")
+            allowed = f.tag in CONTAINERS or f.marked if z else f.tag in BLOCKS and f.tag not in ("html", "body", "h1")
             if allowed and f.digest in subtrees:
                 hashes.append(f.digest)
             f = f.parent
