@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm.bpe import encode_documents
 from trawl.llm.common import table
+from trawl.llm.decontaminate import contamination, decontamination_sql
 from trawl.llm.mixing import with_probability
 from trawl.llm.mixing_sql import mixing_sql
 from trawl.llm.permutation_index import nearest
@@ -141,3 +142,15 @@ QUERIES["op4_site_templates"] = op4_site_templates
 QUERIES["op8_toxicity_counterfactual"] = op8_toxicity_counterfactual
 QUERIES["op10_permutation_index"] = op10_permutation_index
 ORACLES["op7_mixing_weights"] = mixing_sql()
+
+
+def op12_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in benchmark windows, and the items these are from."""
+    out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES["op12_ngram_decontamination"] = op12_ngram_decontamination
+ORACLES["op12_ngram_decontamination"] = decontamination_sql()
