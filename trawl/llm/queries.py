@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trawl.llm.bpe import encode_documents
 from trawl.llm.common import table
 from trawl.llm.decontaminate import contamination, decontamination_sql
+from trawl.llm.hard_negatives import hard_negatives
 from trawl.llm.mixing import with_probability
 from trawl.llm.mixing_sql import mixing_sql
 from trawl.llm.permutation_index import nearest
@@ -154,3 +155,32 @@ def op12_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op12_ngram_decontamination"] = op12_ngram_decontamination
 ORACLES["op12_ngram_decontamination"] = decontamination_sql()
+
+
+def op13_gnat_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor (a vector whose id is divisible by 100) and positive."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("ids") % 100 == 0, label=label)
+
+
+QUERIES["op13_gnat_hard_negatives"] = op13_gnat_hard_negatives
+ORACLES["op13_gnat_hard_negatives"] = """
+WITH u AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, v) = 1),
+p AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+pos AS (
+  SELECT anchor_id, vec_id AS positive_id, s AS positive_score FROM p WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, s AS negative_score,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s DESC, vec_id)::INTEGER AS rank
+FROM pos JOIN p USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score
+QUALIFY rank <= 10
+"""
