@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm.bpe import encode_documents
 from trawl.llm.common import table
+from trawl.llm.conversation_repair import damage, repair_report
 from trawl.llm.decontaminate import contamination, decontamination_sql
 from trawl.llm.hard_negatives import hard_negatives
 from trawl.llm.mixing import with_probability
@@ -184,3 +185,12 @@ FROM pos JOIN p USING (anchor_id)
 WHERE NOT same AND 30 * positive_score <= 100 * s AND 100 * s <= 90 * positive_score
 QUALIFY rank <= 10
 """
+
+
+def op11_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the damage of its rows."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(conversations, damage(conversations))
+
+
+QUERIES["op11_grammar_repair"] = op11_grammar_repair
