@@ -5,20 +5,20 @@ Native: DataFrame functions only.
 1. Texts are normalised (A-Z to lower case) and cut into words.  The n-grams of a benchmark item are its windows of
    ``NGRAM`` consecutive words; an item of fewer words, but not none, is one window.  They are written once, with
    their 64-bit hash, their words and their item.
-2. Training texts are scanned window by window: the hashes of all windows of a text are one array of longs, exploded
-   straight into a semi join with the hash set.  The set is broadcast in slices of at most ``MAX_SET`` hashes (one
-   scan a slice, so nothing larger is ever broadcast); only hits go on, and they are gathered by the digest of the
-   text, so copies of a text are one.
-3. Hits are verified: the words at each hit are read again from the text and must equal the words of a benchmark
-   window.  Overlapping hits are merged into spans of words, and the items whose windows occur are listed.
+2. Training texts are scanned window by window: the hashes of a text's words are one array of longs, exploded into
+   windows that go straight into a semi join with the hash set, in one generated loop.  The set is broadcast in slices
+   of at most ``MAX_SET`` hashes (one scan a slice, so nothing larger is ever broadcast); only hits go on, with their
+   words and the digest of the text, so copies of a text are one.
+3. Hits are verified: the normalised words of a hit must equal those of a benchmark window.  Overlapping hits are
+   merged into spans of words, and the items whose windows occur are listed.
 4. The findings join the documents by digest.  :func:`remove_spans` cuts the spans out of the texts and
    :func:`drop_contaminated` drops documents by their share of hit words.
 
-No shuffle moves a window that does not hit; texts move only in step 3, and then only if the hits exceed the
-broadcast threshold.
+No shuffle moves a window that does not hit, and none moves a text before the last join (whose findings Spark
+broadcasts if they are small).
 
 Defined results: a null or empty text has no words and is clean; very long texts are scanned whole (one long per
-window); repeated rows of ``docs`` each get the findings of their text; repeated items count once; windows of an item
+word); repeated rows of ``docs`` each get the findings of their text; repeated items count once; windows of an item
 without an id hit words, but the item is not listed; an empty benchmark leaves everything clean, empty ``docs`` stay
 empty; extra columns stay, whatever their names (a column named like a finding is replaced).
 """
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,58 +38,77 @@ NGRAM = 10
 #: Hashes in one broadcast slice (about 64 MB as a hash table).
 MAX_SET = 2_000_000
 
-# Fixed value: a word holds everything but the ASCII characters that are neither letters nor digits.
+# Fixed value: a word of lower-cased text holds everything but the ASCII characters that are neither letters nor digits.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words in a text whose capitals are still there.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words in a text whose capitals are still there.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 _FOUND = "digest binary, n_hit long, spans array<struct<first:int,past:int>>, item_ids array<string>"
 
 
+def lower_ascii(text: Column) -> Column:
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def words_of(text: Column) -> Column:
-    """The words of the lower-cased text."""
-    low = F.translate(text_or_empty(text), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    """The words of the text, capitals kept: what stands between separators, without the empty ends."""
+    def inner(w: Column) -> Column:
+        head, tail = (F.when(F.element_at(w, at) == "", 1).otherwise(0) for at in (1, -1))
+        return F.slice(w, head + 1, F.greatest(F.size(w) - head - tail, F.lit(0)))
+    return let(F.split(text_or_empty(text), SEPARATORS), inner)
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(text_or_empty(text), F.lit(WORD_ANY_CASE)).cast("long")
+    return F.size(words_of(text)).cast("long")
 
 
 def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(text_or_empty(text), 256))
 
 
-def _windows(words: Column, size: int, of: Callable[[Column], Column]) -> Column:
-    """``of`` each window of ``size`` words; null where there are fewer."""
-    return F.when(F.size(words) >= size,
-                  F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), lambda i: of(F.slice(words, i, size))))
+def _hashes(words: Column) -> Column:
+    """A hash of each word, equal for words that differ in case alone (more than A-Z count as case here: the check of
+    the words comes later)."""
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+
+
+def _windows(texts: DataFrame, size: int, last: Column, at: Callable[[Column], Column], *carry: str) -> DataFrame:
+    """(carry, words, pos, h): the windows of ``size`` words of ``texts`` (carry, words) from the first to ``last``, by
+    their hash; ``at`` reads the hash of a word.
+
+    The arrays of a text stay where they are; exploded rows refer to them inside one generated loop."""
+    rows = texts.select(*carry, "words", _hashes(F.col("words")).alias("hs"))
+    rows = rows.select(*carry, "words", "hs", F.posexplode("hs").alias("pos", "own")).where(F.col("pos") <= last)
+    return rows.select(*carry, "words", "pos", F.xxhash64(*[at(F.col("pos") + k) for k in range(size)]).alias("h"))
+
+
+def _gram(size: int) -> Column:
+    """The normalised words of the window at ``pos`` (fewer, if the text ends), with spaces between them."""
+    return lower_ascii(F.array_join(F.slice("words", F.col("pos") + 1, F.lit(size)), " "))
 
 
 def benchmark_ngrams(items: DataFrame, id_col: str = "item_id", text_col: str = "text", ngram: int = NGRAM) -> DataFrame:
-    """The distinct (h, size, gram, item) of all items."""
+    """The distinct (h, size, gram, item) of all items; a gram is its words with spaces between them."""
     words = items.select(F.col(f"`{id_col}`").cast("string").alias("item"), words_of(F.col(f"`{text_col}`")).alias("words"))
-    whole = F.when(F.size("words") > 0, F.array("words"))
-    grams = F.coalesce(_windows(F.col("words"), ngram, lambda w: w), whole)
-    return words.select("item", F.explode(grams).alias("gram")) \
-        .select(F.xxhash64("gram").alias("h"), F.size("gram").alias("size"), "gram", "item").distinct()
+    n = F.size("words")
+    # words that a short item does not have are null and add nothing to its hash
+    return _windows(words, ngram, F.greatest(n - ngram, F.lit(0)), lambda i: F.get("hs", i), "item") \
+        .select("h", F.least(n, F.lit(ngram)).alias("size"), _gram(ngram).alias("gram"), "item").distinct()
 
 
 def _hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
-    """(digest, at): the places, as (pos, size), where a window of the text has the hash of a benchmark window."""
+    """(digest, pos, size, h, gram): the windows of the texts that have the hash of a benchmark window, with their words."""
     parts = []
     for row in grams.groupBy("size").agg(F.count_distinct("h").alias("n")).orderBy("size").collect():
-        slices = -(-row.n // MAX_SET)
-        hashes = grams.filter(F.col("size") == row["size"]).select("h").distinct()
-        scanned = docs.select("digest", let(words_of(F.col("text")), lambda w: _windows(w, row["size"], F.xxhash64)).alias("hs"))
-        scanned = scanned.select("digest", F.posexplode("hs").alias("pos", "h"))
+        size, slices = row["size"], -(-row["n"] // MAX_SET)
+        hashes = grams.filter(F.col("size") == size).select("h").distinct()
+        texts = docs.select("digest", words_of(F.col("text")).alias("words"))
+        windows = _windows(texts, size, F.size("words") - size, lambda i: F.col("hs")[i], "digest")
         for k in range(slices):
             held = hashes.filter(F.pmod("h", F.lit(slices)) == k)
-            parts.append(scanned.join(F.broadcast(held), "h", "left_semi").select("digest", "pos", F.lit(row["size"]).alias("size")))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.union(p)
-    return hits.groupBy("digest").agg(F.collect_set(F.struct("pos", "size")).alias("at"))
+            parts.append(windows.join(F.broadcast(held), "h", "left_semi")
+                         .select("digest", "pos", F.lit(size).alias("size"), "h", _gram(size).alias("gram")))
+    return reduce(DataFrame.union, parts)
 
 
 def findings(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "item_id",
@@ -100,13 +120,8 @@ def findings(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col:
         return spark.createDataFrame([], _FOUND)
     text = F.col(f"`{text_col}`")
     texts = docs.select(digest_of(text).alias("digest"), text.alias("text"))
-    hits = materialize(_hits(texts, grams), "benchmark-hits")
-    # the words at each hit, read from the text again
-    seen = texts.join(hits, "digest").select("digest", F.explode(let(
-        words_of(F.col("text")), lambda w: F.transform("at", lambda x: F.struct(
-            x["pos"].alias("pos"), x["size"].alias("size"), F.slice(w, x["pos"] + 1, x["size"]).alias("gram"))))).alias("x"))
-    seen = seen.select("digest", F.xxhash64("x.gram").alias("h"), "x.pos", "x.size", "x.gram")
-    exact = materialize(seen.join(grams.select("h", "gram"), ["h", "gram"], "left_semi").distinct(), "benchmark-exact")
+    hits = _hits(texts, grams).distinct()
+    exact = materialize(hits.join(grams.select("h", "gram").distinct(), ["h", "gram"], "left_semi"), "benchmark-exact")
 
     by_place = Window.partitionBy("digest").orderBy("pos", "size")
     before = F.max(F.col("pos") + F.col("size")).over(by_place.rowsBetween(Window.unboundedPreceding, -1))
@@ -133,10 +148,12 @@ def _joined(docs: DataFrame, items: DataFrame, text_col: str, **names) -> tuple[
 
 def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", **names) -> DataFrame:
     """``docs`` with n_words, n_hit, spans and item_ids."""
-    out, new = _joined(docs, items, text_col, **names)
     keep = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "spans", "item_ids")]
+    count = fresh(docs.columns, "n_words__")
+    # counted below the join: a caller that leaves the texts out moves none
+    out, new = _joined(docs.withColumn(count, count_words(F.col(f"`{text_col}`"))), items, text_col, **names)
     none = F.array().cast("array<struct<first:int,past:int>>")
-    return out.select(*[F.col(f"`{c}`") for c in keep], count_words(F.col(f"`{text_col}`")).alias("n_words"),
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.col(count).alias("n_words"),
                       F.coalesce(new["n_hit"], F.lit(0).cast("long")).alias("n_hit"),
                       F.coalesce(new["spans"], none).alias("spans"),
                       F.coalesce(new["item_ids"], F.array().cast("array<string>")).alias("item_ids"))
@@ -146,16 +163,16 @@ def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", **na
     """``docs`` without the hit words, each with what stands between it and the word before; other texts stay as they are."""
     out, new = _joined(docs, items, text_col, **names)
     text, spans = F.col(f"`{text_col}`"), F.col(f"`{new['spans']}`")
-    separators = WORD_ANY_CASE.replace("[^", "[")[:-1] + "*"
+    between, word = SEPARATORS[:-1] + "*", SEPARATORS.replace("[", "[^")
 
     def cut(tokens: Column) -> Column:
         first = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["past"]))
         past = F.concat(F.transform(spans, lambda s: s["first"]), F.array(F.size(tokens)))
         kept = F.flatten(F.zip_with(first, past, lambda a, b: F.slice(tokens, a + 1, b - a)))
-        return F.concat(F.array_join(kept, ""), F.regexp_extract(text, f"{separators}$", 0))
+        return F.concat(F.array_join(kept, ""), F.regexp_extract(text, between + r"\z", 0))
 
     clean = F.when(spans.isNull(), text).otherwise(
-        let(F.regexp_extract_all(text, F.lit(separators + WORD_ANY_CASE), F.lit(0)), cut))
+        let(F.regexp_extract_all(text, F.lit(between + word), F.lit(0)), cut))
     return out.withColumn(text_col, clean).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
