@@ -6,9 +6,11 @@ Native: DataFrame functions only.
    ``NGRAM`` consecutive words; an item of fewer words, but not none, is one window.  They are written once, with
    their 64-bit hash, their words and their item.
 2. Training texts are scanned window by window: the hashes of a text's words are one array of longs, exploded into
-   windows that go straight into a semi join with the hash set, in one generated loop.  The set is broadcast in slices
-   of at most ``MAX_SET`` hashes (one scan a slice, so nothing larger is ever broadcast); only hits go on, with their
-   words and the digest of the text, so copies of a text are one.
+   windows that go straight into a semi join with the hash set, in one generated loop.  A window of ten words holds an
+   inner window of six that begins at a multiple of five, so every fifth place is looked up in the set of inner windows
+   first, and only around its hits are all windows looked up.  Sets are broadcast in slices of at most ``MAX_SET``
+   hashes (one scan a slice, so nothing larger is ever broadcast); only hits go on, with their words and the digest of
+   the text, so copies of a text are one.
 3. Hits are verified: the normalised words of a hit must equal those of a benchmark window.  Overlapping hits are
    merged into spans of words, and the items whose windows occur are listed.
 4. The findings join the documents by digest.  :func:`remove_spans` cuts the spans out of the texts and
@@ -72,14 +74,9 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
 
 
-def _windows(texts: DataFrame, size: int, last: Column, at: Callable[[Column], Column], *carry: str) -> DataFrame:
-    """(carry, words, pos, h): the windows of ``size`` words of ``texts`` (carry, words) from the first to ``last``, by
-    their hash; ``at`` reads the hash of a word.
-
-    The arrays of a text stay where they are; exploded rows refer to them inside one generated loop."""
-    rows = texts.select(*carry, "words", _hashes(F.col("words")).alias("hs"))
-    rows = rows.select(*carry, "words", "hs", F.posexplode("hs").alias("pos", "own")).where(F.col("pos") <= last)
-    return rows.select(*carry, "words", "pos", F.xxhash64(*[at(F.col("pos") + k) for k in range(size)]).alias("h"))
+def _window_hash(size: int, at: Callable[[Column], Column]) -> Column:
+    """The hash of the window of ``size`` words at ``pos``; ``at`` reads the hash of a word, and null adds nothing."""
+    return F.xxhash64(*[at(F.col("pos") + k) for k in range(size)])
 
 
 def _gram(size: int) -> Column:
@@ -91,22 +88,42 @@ def benchmark_ngrams(items: DataFrame, id_col: str = "item_id", text_col: str =
     """The distinct (h, size, gram, item) of all items; a gram is its words with spaces between them."""
     words = items.select(F.col(f"`{id_col}`").cast("string").alias("item"), words_of(F.col(f"`{text_col}`")).alias("words"))
     n = F.size("words")
-    # words that a short item does not have are null and add nothing to its hash
-    return _windows(words, ngram, F.greatest(n - ngram, F.lit(0)), lambda i: F.get("hs", i), "item") \
-        .select("h", F.least(n, F.lit(ngram)).alias("size"), _gram(ngram).alias("gram"), "item").distinct()
+    starts = F.sequence(F.lit(0), F.greatest(n - ngram, F.lit(0)))
+    return words.where(n > 0).select("item", "words", _hashes(F.col("words")).alias("hs"), F.explode(starts).alias("pos")) \
+        .select(_window_hash(ngram, lambda i: F.get("hs", i)).alias("h"), F.least(n, F.lit(ngram)).alias("size"),
+                _gram(ngram).alias("gram"), "item").distinct()
 
 
 def _hits(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """(digest, pos, size, h, gram): the windows of the texts that have the hash of a benchmark window, with their words."""
     parts = []
+    n, word = F.size("hs"), (lambda i: F.col("hs")[i])
     for row in grams.groupBy("size").agg(F.count_distinct("h").alias("n")).orderBy("size").collect():
-        size, slices = row["size"], -(-row["n"] // MAX_SET)
-        hashes = grams.filter(F.col("size") == size).select("h").distinct()
+        size = row["size"]
+        step = max(1, size // 2)
+        inner = size - step + 1
+        own = grams.filter(F.col("size") == size)
+        # every window of a benchmark item holds, at one of its first ``step`` places, an inner window
+        inners = own.select(_hashes(F.split("gram", " ")).alias("hs"),
+                            F.explode(F.sequence(F.lit(0), F.lit(step - 1))).alias("pos")) \
+            .select(_window_hash(inner, word).alias("h")).distinct()
+        slices = max(1, -(-row["n"] * step // MAX_SET))
+        # the arrays of a text stay where they are; exploded rows refer to them inside one generated loop
         texts = docs.select("digest", words_of(F.col("text")).alias("words"))
-        windows = _windows(texts, size, F.size("words") - size, lambda i: F.col("hs")[i], "digest")
+        texts = texts.select("digest", "words", _hashes(F.col("words")).alias("hs"))
+        # the outer form: for the other one Spark adds a test of the array below, which would cut each text twice
+        every = F.when(n >= size, F.sequence(F.lit(0), n - inner, F.lit(step)))
+        places = texts.select("digest", "words", "hs", F.explode_outer(every).alias("pos")).where("pos is not null")
+        places = places.withColumn("inner", _window_hash(inner, word))
+        hashes = own.select("h").distinct()
+        hashes = F.broadcast(hashes) if row["n"] <= MAX_SET else hashes
         for k in range(slices):
-            held = hashes.filter(F.pmod("h", F.lit(slices)) == k)
-            parts.append(windows.join(F.broadcast(held), "h", "left_semi")
+            held = inners.filter(F.pmod("h", F.lit(slices)) == k) if slices > 1 else inners
+            held = held.withColumnRenamed("h", "inner")
+            near = places.join(F.broadcast(held), "inner", "left_semi")
+            around = F.sequence(F.greatest(F.col("pos") - (step - 1), F.lit(0)), F.least(F.col("pos"), n - size))
+            windows = near.select("digest", "words", "hs", F.explode(around).alias("pos")).withColumn("h", _window_hash(size, word))
+            parts.append(windows.join(hashes, "h", "left_semi")
                          .select("digest", "pos", F.lit(size).alias("size"), "h", _gram(size).alias("gram")))
     return reduce(DataFrame.union, parts)
 
