@@ -48,6 +48,8 @@ CANDIDATES = 3 * FANOUT
 ASKS = 512
 #: Packs of one node that a task puts together.
 PACKS_A_TASK = 64
+#: Rows found that a task merges before it passes them on.
+HELD_ROWS = 200_000
 #: Relative widening of all distance bounds.
 SLACK = 1e-6
 #: A node this deep stays a leaf, of any number of packs (vectors that doubles cannot tell apart).
@@ -275,11 +277,23 @@ def visits(tree: Tree, asks: DataFrame, nearest_only: bool = False) -> DataFrame
     return out
 
 
+def _merged(found: list[np.ndarray], k: int) -> np.ndarray:
+    """The k best rows (anchor, window, id, score) of each window of each anchor."""
+    rows = np.concatenate(found)
+    rows = rows[np.lexsort((rows[:, 2], -rows[:, 3], rows[:, 1], rows[:, 0]))]
+    new = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
+    place = np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+    return rows[place < k]
+
+
 def _scan(same: bool, k: int):
-    """A leaf pack against a pack of anchors: the k best of each window."""
+    """Leaf packs against packs of anchors: the k best of each window among those that the task has seen."""
+    def frame(rows: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["anchor", "win", "id", "score"])
+
     def run(batches):
+        held, n = [], 0
         for pdf in batches:
-            out = []
             for row in pdf.itertuples(index=False):
                 ids, labels = _mat(row.ids, row.n)[:, 0], _mat(row.labels, row.n)[:, 0]
                 by_id = np.argsort(ids, kind="stable")
@@ -296,10 +310,17 @@ def _scan(same: bool, k: int):
                     for w in range(len(lo)):
                         a = np.searchsorted(falling, -hi[w], side="left")
                         best = own[a:min(a + k, np.searchsorted(falling, -lo[w], side="right"))]
-                        out.append(np.column_stack([np.full((len(best), 1), anchor), np.full((len(best), 1), w),
-                                                    ids[best, None], s[q, best, None]]))
-            if out:
-                yield pd.DataFrame(np.concatenate(out), columns=["anchor", "win", "id", "score"])
+                        if len(best):
+                            held.append(np.column_stack([np.full((len(best), 2), (anchor, w)), ids[best], s[q, best]]))
+                            n += len(best)
+                if n > HELD_ROWS:
+                    held = [_merged(held, k)]
+                    n = len(held[0])
+                    if n > HELD_ROWS // 2:        # many anchors: pass them on, the window merges
+                        yield frame(held[0])
+                        held, n = [], 0
+        if held:
+            yield frame(_merged(held, k))
     return run
 
 
