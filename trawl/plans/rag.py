@@ -14,6 +14,7 @@ from trawl.operators import chunks as CH
 from trawl.operators import embed as E
 from trawl.operators import rag as RG
 from trawl.operators import retrieve as RT
+from trawl.operators import vector_index as VI
 from trawl.operators.crawl_log import orphan_chunks
 from trawl.plans.registry import query
 from trawl.session import scratch_path
@@ -305,12 +306,15 @@ def _cos(a, b):
     return f"list_cosine_similarity(({a})::DOUBLE[], ({b})::DOUBLE[])"
 
 
-@query("similar_chunks_batch", headline=True, oracle=f"""
+_NEAREST3 = f"""
 with s as (select q.vec_id as q_id, c.vec_id, {_cos('c.embedding', 'q.embedding')} as sim
            from embeddings q, embeddings c)
 select q_id, vec_id, round(sim, 6) as similarity, cast(rank as integer) as rank from (
   select *, row_number() over (partition by q_id order by round(sim, 9) desc, vec_id) as rank from s) t
-where rank <= 3""")
+where rank <= 3"""
+
+
+@query("similar_chunks_batch", headline=True, oracle=_NEAREST3)
 def q_similar_chunks_batch(spark, sf_dir):
     """C6 + E4: every vector's 3 nearest vectors by cosine (batch retrieval)."""
     emb = _emb(spark, sf_dir)
@@ -319,6 +323,16 @@ def q_similar_chunks_batch(spark, sf_dir):
     return r.select("q_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("similar_chunks_indexed", oracle=_NEAREST3)
+def q_similar_chunks_indexed(spark, sf_dir):
+    """C6 + E4: the same through an index of clustered tiles, pruned by the bounds of the tiles."""
+    emb = _emb(spark, sf_dir)
+    qs = emb.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("qvec"))
+    index = VI.build_index(emb, key_cols=("vec_id",), vector_col="embedding")
+    r = VI.search_index(index, qs, 3, key_cols=("vec_id",), chunks=emb)
+    return r.select("q_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 _TOP3 = f"""
 with q as (select embedding as qv from embeddings where vec_id = 0),
 s as (select e.vec_id, {_cos('e.embedding', 'q.qv')} as sim from embeddings e, q)
