@@ -2,9 +2,10 @@
 C10, D1-D8, E2, E3, F1, H16, H17, H20, H21, T5).
 
 The log may hold many rows per URL (appends are never de-duplicated).
-"Latest row per URL" is a ``max_by(row, (ts, tie))`` aggregate: it is
-combined map-side before the shuffle, so a URL that holds a third of all
-rows still costs one partial row per task, not one giant sort group.
+"Latest row per URL" is found by row locators (``newest``), or is a
+``max_by(row, (ts, tie))`` aggregate: both are combined map-side before the
+shuffle, so a URL that holds a third of all rows still costs one partial row
+per task, not one giant sort group.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from trawl import schemas
 from trawl.functions.urls import authority
 from trawl.operators.filters import is_excluded
+from trawl.operators.newest import is_located, newest_rows
 from trawl.session import checkpoint_dir, materialize
 
 # Result labels, default error text and content types.
@@ -104,9 +106,12 @@ def merge_file_metadata(target: DataFrame, updates: DataFrame, as_of) -> DataFra
 def latest_per_url(log: DataFrame, ts: str = "ts", tie=("file_name",)) -> DataFrame:
     """Newest row per URL (ties broken by ``tie`` descending).
 
-    ``max_by`` compares (ts, tie) alone: the other columns are carried, never
-    ordered, so they may be of any type (maps too).
+    A log with row locators (``newest.located``) is read twice, first without its payload, and the
+    newest rows are taken by their place in the files: nothing wide is sorted or shuffled.  For any other
+    log ``max_by`` compares (ts, tie) alone and carries the other columns, which may be of any type (maps too).
     """
+    if is_located(log):
+        return newest_rows(log, "url", [ts, *tie])
     rest = [c for c in log.columns if c != "url"]
     order = F.struct(F.col(ts).alias("t"), *[F.col(c).alias(f"t{k}") for k, c in enumerate(tie)])
     best = log.groupBy("url").agg(F.max_by(F.struct(*rest), order).alias("newest"))

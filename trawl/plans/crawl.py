@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trawl.operators import crawl_log as C
+from trawl.operators.newest import located
 from trawl.plans import sqltext as S
 from trawl.plans.registry import query
 from trawl.sources.tables import crawl_log_from_events, crawl_log_sql, read_table
@@ -98,8 +99,8 @@ def q_cached_urls(spark, sf_dir):
 
 @query("latest_per_url", headline=True, oracle=f"with {LOG}, {LATEST} select * from latest")
 def q_latest_per_url(spark, sf_dir):
-    """Newest row per URL."""
-    return C.latest_per_url(_log(spark, sf_dir))
+    """Newest row per URL, taken by its place in the files."""
+    return C.latest_per_url(crawl_log_from_events(located(read_table(spark, sf_dir, "events"))))
 
 
 @query("crawl_result", oracle=f"""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl import schemas
+from trawl.operators.newest import FILE, ROW
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -42,7 +43,8 @@ def crawl_log_from_events(events: DataFrame) -> DataFrame:
     """The crawl log (CRAWL_METADATA) as a view over ``events``.
 
     Several rows per URL, NULL ``success`` for signups (rows written by the
-    file upsert carry no success flag), JSON metadata from ``props``.
+    file upsert carry no success flag), JSON metadata from ``props``.  Row
+    locators of ``events`` stay.
     """
     et = F.col("event_type")
     return events.select(
@@ -59,6 +61,7 @@ def crawl_log_from_events(events: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("content_type"),
         F.floor(F.col("value")).cast("long").alias("size"),
         F.col("event_id"),
+        *[F.col(c) for c in (FILE, ROW) if c in events.columns],
     )
 
 
