@@ -18,6 +18,7 @@ from trawl.functions.urls import authority
 from trawl.operators.filters import is_excluded
 from trawl.operators.newest import is_located, newest_rows
 from trawl.session import checkpoint_dir, materialize
+from trawl.sources.versions import BucketedTable
 
 # Result labels, default error text and content types.
 STATUS_OK = "✅ Success"
@@ -73,7 +74,8 @@ def merge_file_metadata(target: DataFrame, updates: DataFrame, as_of) -> DataFra
     Unmatched updates are inserted with those six columns, the rest NULL.
     Two updates for one URL are an error (which of them should win is not
     known).  The result is a new table; write it to a new path and swap
-    (parquet has no in-place MERGE).
+    (parquet has no in-place MERGE), or keep the log by buckets and use
+    :func:`upsert_file_metadata`, which rewrites only the buckets it hits.
 
     The updates are written once, so Spark knows their size: it broadcasts them
     when they are small and shuffles both sides otherwise.  The insert test
@@ -101,6 +103,15 @@ def merge_file_metadata(target: DataFrame, updates: DataFrame, as_of) -> DataFra
     return kept.unionByName(inserted)
 
 
+def upsert_file_metadata(table: BucketedTable, updates: DataFrame, as_of) -> int:
+    """A3 / C4 on a log kept by buckets of its URLs: only the buckets that hold a URL of ``updates`` are read and
+    rewritten, and the new version appears at once.  Returns its number; no update makes no version."""
+    checkpoint_dir(updates.sparkSession)
+    updates = materialize(updates, "upsert-updates")
+    hit = table.buckets_of(updates)
+    return table.rewrite(hit, lambda rows: merge_file_metadata(rows, updates, as_of)) if hit else table.latest()
+
+
 # ---------------------------------------------------------------- reading
 
 def latest_per_url(log: DataFrame, ts: str = "ts", tie=("file_name",)) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from trawl.functions.urls import authority, is_same_domain, normalize_url
 from trawl.session import checkpoint_dir, materialize
+from trawl.sources.versions import BucketedTable, Versions
 
 
 def url_set(df: DataFrame, col: str = "url") -> DataFrame:
@@ -99,6 +100,102 @@ def discover(edges: DataFrame, seeds: DataFrame, base: str | None = None, max_de
                            F.lit("not fetchable")).alias("error")))
 
 
+class Walk:
+    """A breadth-first walk that is kept (G6, C8): stopped after any round, or by a crash, it goes on where it was.
+
+    * The edges lie in buckets of their source's hash (:func:`bucketed_edges`).  A round reads only the buckets that hold
+      a URL of its frontier, so what it reads falls with the frontier.
+    * The state is a table in versions: each committed version adds one round's new URLs as a piece.  The discovered
+      set is the union of the pieces, and the last piece is the frontier; nothing lives in memory between rounds.
+
+    URLs whose links were followed are processed and never followed again: later seeds (:meth:`add`) and later runs see
+    what earlier ones discovered.
+    """
+
+    def __init__(self, edges: BucketedTable, path: str, base: str | None = None, pages: DataFrame | None = None):
+        self.spark, self.edges, self.base, self.pages = edges.spark, edges, base, pages
+        checkpoint_dir(self.spark)
+        self.state = Versions(self.spark, path)
+
+    def _pieces(self) -> list[tuple[int, str, str]]:
+        """(number, kind, folder) of the pieces, oldest first."""
+        return sorted((int(p), note, folder) for p, (folder, note) in self.state.manifest().items())
+
+    def _table(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], "url string, depth int")
+        return self.spark.read.schema("url string, depth int").parquet(*[self.state.at(f) for f in folders])
+
+    def discovered(self) -> DataFrame:
+        """(url, depth) of everything found so far."""
+        return self._table([f for _, _, f in self._pieces()])
+
+    def frontier(self) -> DataFrame:
+        """The URLs whose links have not been looked at."""
+        return self._table([f for _, kind, f in self._pieces() if kind == "open"])
+
+    def _commit(self, new: DataFrame, done: bool) -> bool:
+        """Add ``new`` as the open piece; with ``done`` the open pieces before it are followed.  True if it holds URLs."""
+        version = self.state.latest()
+        pieces = self.state.manifest(version) if version is not None else {}
+        if done:
+            pieces = {p: (f, "followed") for p, (f, _) in pieces.items()}
+        folder = self.state.new_folder("found")
+        new.write.parquet(self.state.at(folder))
+        found = not self._table([folder]).isEmpty()
+        if found:
+            pieces[str(len(pieces))] = (folder, "open")
+        if found or done:
+            self.state.commit(0 if version is None else version + 1, pieces)
+        return found
+
+    def add(self, seeds: DataFrame) -> bool:
+        """Seeds that are not discovered yet join the frontier at depth 0."""
+        new = url_set(seeds).join(self.discovered().select("url"), "url", "left_anti")
+        return self._commit(new.withColumn("depth", F.lit(0)), done=False)
+
+    def step(self) -> bool:
+        """One round: follow the frontier's links.  False when nothing new was found."""
+        frontier = self.frontier()
+        fr = frontier.select(F.col("url").alias("src"), "depth")
+        if self.pages is not None:
+            fr = fr.join(url_set(self.pages).select(F.col("url").alias("src")), "src", "left_semi")
+        fr = materialize(fr, "walk-frontier")
+        hit = self.edges.buckets_of(fr)
+        cand = self.edges.read(hit).join(fr, "src").groupBy(F.col("dst").alias("url")).agg((F.min("depth") + 1).alias("depth"))
+        if self.base is not None:
+            cand = cand.where(is_same_domain("url", F.lit(self.base)))
+        return self._commit(cand.join(self.discovered().select("url"), "url", "left_anti"), done=True)
+
+    def run(self, rounds: int | None = None) -> int:
+        """Up to ``rounds`` rounds (None: until nothing is new); returns how many found something."""
+        n = 0
+        while (rounds is None or n < rounds) and not self.frontier().isEmpty():
+            if not self.step():
+                break
+            n += 1
+        return n
+
+    def result(self) -> DataFrame:
+        """``(url, depth, processed, error)`` as from :func:`discover`."""
+        followed = self._table([f for _, kind, f in self._pieces() if kind == "followed"]).withColumn("_followed", F.lit(True))
+        found = followed.unionByName(self.frontier().withColumn("_followed", F.lit(False)))
+        if self.pages is None:
+            pages = self.edges.read().select(F.col("src").alias("url")).join(found.select("url"), "url", "left_semi").distinct()
+        else:
+            pages = url_set(self.pages)
+        out = found.join(pages.withColumn("_ok", F.lit(True)), "url", "left")
+        return out.select("url", "depth", (F.col("_followed") & F.col("_ok").isNotNull()).alias("processed"),
+                          F.when(F.col("_followed") & F.col("_ok").isNull(), F.lit("not fetchable")).alias("error"))
+
+
+def bucketed_edges(edges: DataFrame, path: str, buckets: int = 64, src: str = "src", dst: str = "dst") -> BucketedTable:
+    """Write an edge table by buckets of the source's hash, for any number of walks."""
+    table = BucketedTable(edges.sparkSession, path)
+    table.create(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where(F.col("dst").isNotNull()), "src", buckets)
+    return table
+
+
 def discover_from(edges: DataFrame, base_url: str, sitemap_urls: DataFrame | None = None,
                   max_depth: int = 3, **kw) -> DataFrame:
     """G6 with the reference's seeding: normalised base URL ∪ sitemap URLs;

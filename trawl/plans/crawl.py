@@ -8,7 +8,9 @@ from trawl.operators import crawl_log as C
 from trawl.operators.newest import located
 from trawl.plans import sqltext as S
 from trawl.plans.registry import query
+from trawl.session import scratch_path
 from trawl.sources.tables import crawl_log_from_events, crawl_log_sql, read_table
+from trawl.sources.versions import BucketedTable
 
 # Fixed values of the registered queries
 AS_OF = "2024-02-01 00:00:00"
@@ -197,7 +199,16 @@ def q_crawl_metrics(spark, sf_dir):
     return C.crawl_metrics(_log(spark, sf_dir), batch_size=10, patterns=[SKIP_PATTERN])
 
 
-@query("merge_file_metadata", oracle=f"""
+def _halves(spark, sf_dir):
+    """The log before ``SPLIT_TS``, and the newest file row of each URL since."""
+    log = _log(spark, sf_dir)
+    target = log.where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")).drop("event_id")
+    upd = C.latest_per_url(log.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))) \
+        .select("url", "file_name", "file_type", "content_type", "size", "metadata")
+    return target, upd
+
+
+_MERGED = f"""
 with {LOG},
 t as (select * exclude (event_id) from log where ts < TIMESTAMP '{SPLIT_TS}'),
 u as (select url, file_name, file_type, content_type, size, metadata from (
@@ -214,14 +225,24 @@ select t.url, t.success, t.error_message,
 from t left join u on t.url = u.url
 union all
 select url, null, null, metadata, TIMESTAMP '{AS_OF}', null, file_name, file_type, content_type, size
-from u where url not in (select url from t)""")
+from u where url not in (select url from t)"""
+
+
+@query("merge_file_metadata", oracle=_MERGED)
 def q_merge_file_metadata(spark, sf_dir):
     """A3 / C4: upsert the later half's latest file rows into the earlier half."""
-    log = _log(spark, sf_dir)
-    target = log.where(F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")).drop("event_id")
-    upd = C.latest_per_url(log.where(F.col("ts") >= F.lit(SPLIT_TS).cast("timestamp_ntz"))) \
-        .select("url", "file_name", "file_type", "content_type", "size", "metadata")
-    return C.merge_file_metadata(target, upd, AS_OF)
+    return C.merge_file_metadata(*_halves(spark, sf_dir), AS_OF)
+
+
+@query("upsert_buckets", oracle=_MERGED)
+def q_upsert_buckets(spark, sf_dir):
+    """A3 / C4: the same upsert on a log kept by buckets, in three versions: the updates arrive in two parts."""
+    target, upd = _halves(spark, sf_dir)
+    table = BucketedTable(spark, scratch_path(spark, "log-buckets"))
+    table.create(target, "url", 16)
+    for part in (0, 1):
+        C.upsert_file_metadata(table, upd.where(F.pmod(F.xxhash64("url"), F.lit(2)) == part), AS_OF)
+    return table.read()
 
 
 @query("with_batches", oracle=f"""

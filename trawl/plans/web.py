@@ -8,7 +8,7 @@ from trawl.functions import urls as U
 from trawl.operators import filters, frontier, links
 from trawl.plans import sqltext as S
 from trawl.plans.registry import query
-from trawl.session import scratch_path
+from trawl.session import materialize, scratch_path
 from trawl.sources.tables import link_graph_from_lineitem, link_graph_sql, read_table
 
 # Fixed values of the registered queries (parameters, not data subsets)
@@ -178,33 +178,51 @@ d as (select url, cast(min(depth) as integer) as depth from r group by url)"""
 _WALKS: dict[tuple[str, str], str] = {}
 
 
-def _discovered(spark, sf_dir):
-    """The walk over the lineitem page graph, written once per application and shared by its queries.
+def _graph(spark, sf_dir):
+    """The lineitem page graph, its seed and its pages: every seventh part has no page, so there are error nodes."""
+    g = link_graph_from_lineitem(read_table(spark, sf_dir, "lineitem"))
+    part = F.regexp_extract("src", "/p/([0-9]+)$", 1)
+    pages = g.where((part == "") | (F.expr("try_cast(regexp_extract(src, '/p/([0-9]+)$', 1) as bigint)") % 7 != 0)) \
+        .select(F.col("src").alias("url"))
+    return g, spark.createDataFrame([(GRAPH_SEED,)], "url string"), pages
+
 
-    Every seventh part has no page, so there are error nodes whose links are not followed.
-    """
+def _discovered(spark, sf_dir):
+    """The walk over the lineitem page graph, written once per application and shared by its queries."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WALKS:
-        g = link_graph_from_lineitem(read_table(spark, sf_dir, "lineitem"))
-        seeds = spark.createDataFrame([(GRAPH_SEED,)], "url string")
-        part = F.regexp_extract("src", "/p/([0-9]+)$", 1)
-        pages = g.where((part == "") | (F.expr("try_cast(regexp_extract(src, '/p/([0-9]+)$', 1) as bigint)") % 7 != 0)) \
-            .select(F.col("src").alias("url"))
+        g, seeds, pages = _graph(spark, sf_dir)
         path = scratch_path(spark, "discovered")
         frontier.discover(g, seeds, GRAPH_DOMAIN, 3, pages=pages).write.parquet(path)
         _WALKS[key] = path
     return spark.read.parquet(_WALKS[key])
 
 
-@query("discover", headline=True, oracle=f"""
+_DISCOVERED = f"""
 {_bfs_sql()}
 select url, depth, depth < 3 and {_HAS_PAGE.format(u='url')} as processed,
-       case when depth < 3 and not ({_HAS_PAGE.format(u='url')}) then 'not fetchable' end as error from d""")
+       case when depth < 3 and not ({_HAS_PAGE.format(u='url')}) then 'not fetchable' end as error from d"""
+
+
+@query("discover", headline=True, oracle=_DISCOVERED)
 def q_discover(spark, sf_dir):
     """G6 (+ C3, C8, B7): 3-round breadth-first discovery on the lineitem page graph."""
     return _discovered(spark, sf_dir).select("url", "depth", "processed", "error")
 
 
+@query("resumed_walk", oracle=_DISCOVERED)
+def q_resumed_walk(spark, sf_dir):
+    """G6 + C8: the same walk over bucketed edges, stopped after each round and taken up again from its written state."""
+    g, seeds, pages = _graph(spark, sf_dir)
+    edges = frontier.bucketed_edges(g, scratch_path(spark, "edges"))
+    state = scratch_path(spark, "walk")
+    pages = materialize(frontier.url_set(pages), "walk-pages")
+    frontier.Walk(edges, state, GRAPH_DOMAIN, pages).add(seeds)
+    for _ in range(3):
+        frontier.Walk(edges, state, GRAPH_DOMAIN, pages).run(1)
+    return frontier.Walk(edges, state, GRAPH_DOMAIN, pages).result()
+
+
 @query("pending_urls", oracle=f"""
 {_bfs_sql()}
 select url from d where depth >= 3 or not {_HAS_PAGE.format(u='url')}""")
