@@ -417,6 +417,7 @@ def test_batch_equals_single_question(spark):
 def test_stream_metrics_state_across_runs(spark):
     """ST2: counts keep growing across runs from the checkpointed state."""
     from trawl.session import scratch_path
+    from trawl.sources.versions import PublishedTable
     from trawl.streaming.ingest import stream_metrics
     log = crawl_log_from_events(read_table(spark, SMALL, "events"))
     src, sink, ck = scratch_path(spark, "m-src"), scratch_path(spark, "m-sink"), scratch_path(spark, "m-ck")
@@ -426,7 +427,7 @@ def test_stream_metrics_state_across_runs(spark):
     stream_metrics(spark, src, sink, ck, log.schema)
     late.write.mode("append").parquet(src)
     stream_metrics(spark, src, sink, ck, log.schema)
-    got = {r.status: r["count"] for r in spark.read.parquet(sink).collect()}
+    got = {r.status: r["count"] for r in PublishedTable(spark, sink).read().collect()}
     st = C.crawl_stats(log).first()
     assert got.get("success", 0) == st.successful_urls and got.get("failed", 0) == st.failed_urls
     assert sum(got.values()) == st.total_urls

@@ -41,9 +41,14 @@ def newest_rows(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     ``rows`` is a :func:`located` scan, or a projection of one that keeps the locator.  The locator is dropped."""
     checkpoint_dir(rows.sparkSession)
     winner = F.max(F.struct(*order, FILE, ROW)).alias("w")
-    winners = rows.select(key, *order, FILE, ROW).groupBy(key).agg(winner).select(f"w.{FILE}", f"w.{ROW}")
+    return rows_at(rows, rows.select(key, *order, FILE, ROW).groupBy(key).agg(winner).select(f"w.{FILE}", f"w.{ROW}"))
+
+
+def rows_at(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of a :func:`located` scan (or a projection of one) at ``places`` (``_file``, ``_row``), without the locator."""
+    checkpoint_dir(rows.sparkSession)
     bit = F.expr(f"shiftleft(1L, cast({ROW} & 63 as int))")
-    masks = materialize(winners.groupBy(F.col(FILE).alias("mask_file"), F.shiftright(ROW, 6).alias("mask_at"))
+    masks = materialize(places.groupBy(F.col(FILE).alias("mask_file"), F.shiftright(ROW, 6).alias("mask_at"))
                         .agg(F.bit_or(bit).alias("mask")), "newest-masks")
     slices = max(1, -(-masks.count() // MASKS))
 
