@@ -135,8 +135,18 @@ def json_field(metadata, key: str, default: str = "{}") -> Column:
     return F.coalesce(F.get_json_object(m, f"$.{key}"), F.lit(default))
 
 
+def write_clustered(log: DataFrame, path: str, group_bytes: int = 8 << 20) -> DataFrame:
+    """Write a log for look-ups by URL (B2, B3) and read it back.
+
+    Rows are range partitioned and sorted by (url, ts), so a hot URL is spread over files; row groups are small
+    and carry the range and a Bloom filter of their URLs.  ``where(url = ...)`` then skips files and row groups."""
+    (log.repartitionByRange("url", "ts").sortWithinPartitions("url", "ts").write
+     .option("parquet.block.size", str(group_bytes)).option("parquet.bloom.filter.enabled#url", "true").parquet(path))
+    return log.sparkSession.read.parquet(path)
+
+
 def crawl_result(log: DataFrame, url: str) -> DataFrame:
-    """B2: the (latest) row of one URL with its JSON parts split out."""
+    """B2: the (latest) row of one URL with its JSON parts split out (see :func:`write_clustered`)."""
     one = latest_per_url(log.where(F.col("url") == url))
     return one.select("url", F.coalesce(F.col("success"), F.lit(False)).alias("success"),
                       "error_message",

@@ -105,18 +105,28 @@ def q_latest_per_url(spark, sf_dir):
     return C.latest_per_url(crawl_log_from_events(located(read_table(spark, sf_dir, "events"))))
 
 
-@query("crawl_result", oracle=f"""
+_RESULT = f"""
 with {LOG}, {META_LOG}, {META_LATEST}
 select url, coalesce(success, false) as success, error_message,
        coalesce(json_extract(metadata, '$.MEDIA')::varchar, '{{}}') as media,
        coalesce(json_extract(metadata, '$.LINKS')::varchar, '{{}}') as links,
        coalesce(json_extract(metadata, '$.METADATA')::varchar, '{{}}') as page_metadata
-from mlatest where url = '{LOOKUP_URL}'""")
+from mlatest where url = '{LOOKUP_URL}'"""
+
+
+@query("crawl_result", oracle=_RESULT)
 def q_crawl_result(spark, sf_dir):
     """B2 + H17: point lookup of one URL's latest result."""
     return C.crawl_result(_meta_log(spark, sf_dir), LOOKUP_URL)
 
 
+@query("crawl_result_clustered", oracle=_RESULT)
+def q_crawl_result_clustered(spark, sf_dir):
+    """B2: the same look-up in a log written by ranges of its URLs."""
+    log = C.write_clustered(_meta_log(spark, sf_dir), scratch_path(spark, "clustered-log"))
+    return C.crawl_result(log, LOOKUP_URL)
+
+
 @query("saved_files", oracle=f"""
 with {LOG}, {META_LOG}
 select url, file_name, file_type, content_type, size, metadata,

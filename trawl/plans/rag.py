@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trawl.functions.vectors import as_vector
+from trawl.operators import chunk_versions as CV
 from trawl.operators import chunks as CH
 from trawl.operators import embed as E
 from trawl.operators import rag as RG
@@ -216,6 +217,29 @@ def q_sync_content(spark, sf_dir):
     return _buckets(new, "source_id", "chunk_number")
 
 
+def _recrawled(spark, sf_dir):
+    """Two crawls of all documents: the second finds French texts revised, German pages gone and the others as they were."""
+    docs = _docs(spark, sf_dir).withColumn("url", F.concat(F.lit(DOC_URL), F.col("doc_id").cast("string")))
+    first = docs.select("url", F.col("text").alias("markdown"), F.lit(1).alias("ts"), F.lit("f").alias("file_name"))
+    text = F.when(F.col("lang") == "fr", F.concat(F.lit("Revised. "), "text")).when(F.col("lang") != "de", F.col("text"))
+    return first, docs.select("url", text.alias("markdown"), F.lit(2).alias("ts"), F.lit("f").alias("file_name"))
+
+
+@query("chunk_versions", oracle=f"""
+with revised as (select doc_id, case when lang = 'fr' then 'Revised. ' || text when lang <> 'de' then text end as text
+                 from documents),
+{SQL_CHUNKS.replace('from documents', 'from revised')}
+select '{DOC_URL}' || cast(doc_id as varchar) as source_id, cast(chunk_number as integer) as chunk_number, chunk_text from chunks""")
+def q_chunk_versions(spark, sf_dir):
+    """R8 + R2: the chunks of a log whose texts changed: revised pages have new chunks, pages without a text have none."""
+    first, second = _recrawled(spark, sf_dir)
+    store = CV.ChunkStore(spark, scratch_path(spark, "chunk-store"),
+                          lambda d: CH.chunk_fixed(d, SIZE, OVERLAP, key="source_id"), dim=DIM)
+    store.sync(first)
+    store.sync(first.unionByName(second))
+    return store.chunks().select("source_id", "chunk_number", "chunk_text")
+
+
 @query("orphan_chunks", oracle=f"""
 with {SQL_CHUNKS}
 select '{DOC_URL}' || cast(c.doc_id as varchar) as source_id, cast(c.chunk_number as integer) as chunk_number
