@@ -3,14 +3,17 @@
 * ``chunk_text(text, size, overlap)`` - table function (Python UDTF, Arrow
   batched) with the recursive splitter of ``trawl.operators.chunks``:
   ``SELECT d.doc_id, c.* FROM documents d, LATERAL chunk_text(d.text, 500, 50) c``
+* ``chunk_texts(text, size, overlap)`` - the same splitter over whole Arrow batches, an array of
+  ``(chunk_number, chunk_text)``: ``SELECT d.doc_id, c.* FROM documents d LATERAL VIEW inline(chunk_texts(d.text, 500, 50)) c``
 * ``cosine_similarity(a, b)`` - SQL function body of higher-order functions
   (``VECTOR_COSINE_SIMILARITY``); NULL for a zero vector or unequal lengths.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import pandas_udf, udtf
 
 from trawl.operators.chunks import split_text
 
@@ -24,6 +27,12 @@ class ChunkText:
             yield i, c
 
 
+@pandas_udf("array<struct<chunk_number:int,chunk_text:string>>")
+def chunk_texts(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
+    return pd.Series([[{"chunk_number": i, "chunk_text": c} for i, c in enumerate(split_text(t, int(n), int(o)))]
+                      for t, n, o in zip(text, size, overlap)], dtype=object)
+
+
 COSINE_SQL = """
 CREATE OR REPLACE TEMPORARY FUNCTION cosine_similarity(a ARRAY<FLOAT>, b ARRAY<FLOAT>)
 RETURNS DOUBLE
@@ -36,4 +45,5 @@ RETURN CASE WHEN size(a) = size(b) THEN try_divide(
 
 def register(spark: SparkSession) -> None:
     spark.udtf.register("chunk_text", ChunkText)
+    spark.udf.register("chunk_texts", chunk_texts)
     spark.sql(COSINE_SQL)

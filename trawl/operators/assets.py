@@ -96,13 +96,16 @@ def extract_assets(results: DataFrame, domain: str | None = None) -> DataFrame:
                            F.explode(F.concat(markdown, pdf, images, shot)).alias("f"))
     files = files.where(F.col("f.payload").isNotNull())
     name = safe_file_name(F.col("f.name_src"), F.col("f.ext"))
+    # the text of a markdown file is kept in its metadata too; made here, it costs nothing where meta is not asked for
+    meta = F.when(F.col("f.file_type") == "markdown", F.map_concat("f.meta", F.create_map(
+        F.lit("markdown_content"), F.decode("f.payload", "UTF-8")))).otherwise(F.col("f.meta"))
     return files.select(
         "url", name.alias("file_name"), F.col("f.file_type").alias("file_type"),
         F.col("f.content_type").alias("content_type"),
         F.octet_length("f.payload").cast("long").alias("size"), "domain",
         F.concat_ws("/", F.col("domain"), F.element_at(F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv]),
                                                         F.col("f.file_type")), name).alias("stage_path"),
-        F.col("f.payload").alias("payload"), F.col("f.meta").alias("meta"))
+        F.col("f.payload").alias("payload"), meta.alias("meta"))
 
 
 def write_assets(assets: DataFrame, root: str, mode: str = "append") -> None:

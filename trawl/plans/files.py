@@ -98,6 +98,18 @@ def q_extract_assets(spark, sf_dir):
     return a.select("url", "file_name", "file_type", "content_type", "size", "stage_path")
 
 
+@query("asset_meta", oracle=f"""
+with {SQL_ASSETS}
+select url, file_name, file_type, case file_type when 'markdown' then 'markdown_v2' end as type,
+       case when file_type = 'markdown' then case when lang = 'en' then text else '# ' || text end end as markdown_content,
+       case when file_type = 'image' then 'img/' || source || case lang when 'en' then '.png' when 'de' then '.jpg' when 'fr' then '.GIF' else '' end end as src
+from a join d using (url)""")
+def q_asset_meta(spark, sf_dir):
+    """The metadata of saved files: kind and whole text of markdown, source of images."""
+    a = A.extract_assets(_results(spark, sf_dir))
+    return a.select("url", "file_name", "file_type", *[F.col("meta")[k].alias(k) for k in ("type", "markdown_content", "src")])
+
+
 @query("saved_content_counts", oracle=f"""
 with {SQL_ASSETS},
 c as (select case file_type when 'image' then 'images' else file_type end as content, count(*) as saved from a group by all),

@@ -18,6 +18,7 @@ from trawl.operators import retrieve as RT
 from trawl.operators import vector_index as VI
 from trawl.operators.crawl_log import orphan_chunks
 from trawl.plans.registry import query
+from trawl.plans.splitsql import split_sql
 from trawl.session import scratch_path
 from trawl.sources.tables import read_table
 
@@ -117,13 +118,13 @@ def q_chunk_prefix(spark, sf_dir):
     return CH.chunk_with_prefix(c, "doc_id")
 
 
-@query("chunk_documents", headline=True)
+@query("chunk_documents", headline=True, oracle=split_sql(5000, 500))
 def q_chunk_documents(spark, sf_dir):
     """Recursive markdown splitting, server settings (5000 / 500), 0-based."""
     return CH.chunk_documents(_docs(spark, sf_dir), 5000, 500)
 
 
-@query("chunk_documents_client")
+@query("chunk_documents_client", oracle=split_sql(512, 50, start=1))
 def q_chunk_documents_client(spark, sf_dir):
     """Recursive markdown splitting, client settings (512 / 50), 1-based."""
     return CH.chunk_documents(_docs(spark, sf_dir), 512, 50, start=1)
@@ -414,7 +415,17 @@ def q_cosine_sql(spark, sf_dir):
         order by round(sim, 9) desc, vec_id limit 3""")
 
 
-@query("chunk_text_udtf")
+@query("chunk_texts_inline", oracle=split_sql(512, 50))
+def q_chunk_texts_inline(spark, sf_dir):
+    """T7 for SQL users, whole Arrow batches at a time: ``inline(chunk_texts(...))`` over every document."""
+    from trawl.functions.sql import register
+    register(spark)
+    _docs(spark, sf_dir).createOrReplaceTempView("trawl_documents")
+    return spark.sql("select doc_id, chunk_number, chunk_text from trawl_documents "
+                     "lateral view inline(chunk_texts(text, 512, 50)) c as chunk_number, chunk_text")
+
+
+@query("chunk_text_udtf", oracle=split_sql(5000, 500))
 def q_chunk_text_udtf(spark, sf_dir):
     """T7 for SQL users: the ``chunk_text`` table function over every document."""
     from trawl.functions.sql import register

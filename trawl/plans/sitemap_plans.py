@@ -130,6 +130,25 @@ def q_expand_sitemaps(spark, sf_dir):
     return SM.expand_sitemaps(docs, roots)
 
 
+@query("html_sitemap_domain", oracle=f"""
+with h as (select url, unnest(list_append(list_append(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1),
+                  'https://elsewhere.example.net/p/' || page_id), 'https://sub.' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/more')) as href
+           from pages where html is not null),
+r as (select url, case when href like 'http%' then href else concat(regexp_extract(url, '^https?://[^/?#]+'), href) end as loc
+      from h where href <> '')
+select distinct url, {S.normalize_url('loc')} as loc from r
+where {S.normalize_url('loc')} is not null and {S.is_same_domain('loc', S.authority('url'))}""")
+def q_html_sitemap_domain(spark, sf_dir):
+    """Every page has a link to another site and one to a sub-domain; the same-domain test keeps the second alone."""
+    p = read_table(spark, sf_dir, "pages").where(F.col("html").isNotNull())
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    html = F.concat("html", F.lit('<a href="https://elsewhere.example.net/p/'), F.col("page_id").cast("string"), F.lit('">x</a><a href="https://sub.'),
+                    host, F.lit('/more">y</a>'))
+    docs = p.select("url", html.alias("content"), F.lit(False).alias("is_xml"), F.lit(200).alias("status"))
+    locs = SM.sitemap_locs(docs).where(F.col("error").isNull())
+    return locs.select("url", normalize_url("loc").alias("loc")).where(F.col("loc").isNotNull()).distinct()
+
+
 @query("html_sitemap_links", oracle=f"""
 with h as (select url, unnest(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1)) as href from pages),
 r as (select url, concat(regexp_extract(url, '^https?://[^/?#]+'), href) as loc from h where href <> '')
