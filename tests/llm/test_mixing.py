@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +87,33 @@ def test_odd_rows(spark):
     assert M.sample_mixture(docs).columns == docs.columns
     assert M.sample_mixture(no_docs(spark)).count() == 0
     assert all(r.m_p > 0.999999 for r in M.with_probability(docs, names=names, keep=1.0).collect() if r.m_tokens)
+
+
+def test_many_languages_and_topics(spark):
+    """5,000 languages, 20,000 pairs, of plain raking in numpy."""
+    rng = np.random.default_rng(7)
+    s, lg, tp = np.meshgrid(np.arange(7), np.arange(5_000), np.arange(4), indexing="ij")
+    keep = rng.random(s.shape) < 0.8
+    s, lg, tp = s[keep], lg[keep], tp[keep]
+    n = rng.integers(1, 10_000, len(s)) * np.where(s == 0, 50, 1)
+    pdf = pd.DataFrame({"source": [f"s{x}" for x in s], "lang": [f"l{x}" for x in lg], "topic": [f"t{x}" for x in tp], "n_tokens": n})
+    fit = M.rake(spark.createDataFrame(pdf), keep=0.001)
+    assert fit.error <= M.TOLERANCE and len(fit.pairs) > 19_000
+    a = {r.source: r.a for r in fit.sources.collect()}
+    got = n * np.array([a[f"s{x}"] * fit.lang_weights[f"l{y}"] * fit.topic_weights[f"t{z}"] for x, y, z in zip(s, lg, tp)])
+    plain = n.astype(float)
+    totals = [np.bincount(k, n) for k in (s, lg, tp)]
+    want = [t ** M.ALPHA / (t ** M.ALPHA).sum() for t in totals]
+    for _ in range(100):
+        for k, w in zip((s, lg, tp), want):
+            plain *= (w / np.bincount(k, plain))[k]
+    assert np.abs(got - plain).max() < 1e-9
+    langs = {r.lang: r.b for r in fit.langs.collect()}
+    assert langs == fit.lang_weights
+
+
+def test_a_document_of_each_of_many_languages(spark):
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"),
+                                     F.concat(F.lit("l"), F.col("id") % 1_500).alias("lang"), F.lit("one two three").alias("text"))
+    got = M.with_probability(docs, keep=0.25).agg(F.sum("probability"), F.min("probability"), F.max("probability")).first()
+    assert abs(got[0] - 750) < 1e-3 and got[2] - got[1] < 1e-6

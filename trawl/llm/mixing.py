@@ -3,11 +3,11 @@
 Only DataFrame functions: no Python, pandas or Arrow code runs on the executors.
 
 1. One pass over the documents counts the tokens (words) of every (source, language, topic) cell.  The table is kept
-   with one row per source and one column per (language, topic) pair; sources may be many, languages times topics
-   are few (``MAX_PAIRS``; more is an error, not a cut).
+   with one row per source and the list of its cells (language, topic, tokens); sources may be many, and so may
+   languages: a list is as long as the pairs that its source has, and the driver holds one number per pair.
 2. Raking: a cell's weight is ``a[source] * b[language] * c[topic]`` times its tokens.  For given ``b`` and ``c`` the
-   source factor follows in the row itself (``a = target / sum``), so a whole cycle is one aggregate over the source
-   table that returns one number per pair; the language and topic factors are updated from these few numbers.
+   source factor follows in the row itself (``a = target / sum``), so a whole cycle is one aggregate over the cells
+   that returns one number per pair; the language and topic factors are updated from these numbers.
    Cycles end when all three marginals meet their targets within ``TOLERANCE``.  Tables that come near slowly (most
    sources have almost one language only) are extrapolated from the last cycles (Anderson's method on the logarithms
    of the factors, with a plain cycle wherever the error grows).
@@ -16,8 +16,8 @@ Only DataFrame functions: no Python, pandas or Arrow code runs on the executors.
 4. Sampling: the decision compares the probability with a uniform number made from the document id, so it is the
    same whenever a lost task is computed again.
 
-A hot source costs partial sums only.  The factor table is joined to the documents by source; Spark broadcasts it
-where its size on disk is under ``spark.sql.autoBroadcastJoinThreshold``, and otherwise splits hot sources.
+A hot source costs partial sums only.  The factor tables are joined to the documents by source and by language; Spark
+broadcasts them where their size on disk is under ``spark.sql.autoBroadcastJoinThreshold``, and otherwise splits hot keys.
 
 Defined results: a null source or language is a category of its own; a null or word-less text has no tokens and
 probability 0; targets of categories that have no tokens are dropped and the rest scaled to 1; targets that the
@@ -30,9 +30,10 @@ from __future__ import annotations
 
 import logging
 import math
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.common import fresh, materialize, text_or_empty
@@ -49,7 +50,6 @@ MARGINS = ("source", "lang", "topic")
 ALPHA = 0.5
 #: Expected share of all tokens that is drawn.
 KEEP = 0.3
-MAX_PAIRS = 2_000
 TOLERANCE = 1e-9
 MAX_CYCLES = 200
 #: Cycles of the raking, before an unmet fit is reported.
@@ -91,13 +91,24 @@ def _targets(found: dict[str, float], wanted: dict[str, float] | None, alpha: fl
     return {k: v / total for k, v in raw.items()} if total > 0 else dict.fromkeys(seen, 1 / max(1, len(seen)))
 
 
+def _numbers(values: list[float | None]) -> Column:
+    """An array of doubles (NaN for None) as one literal that the optimizer folds: it stays out of the generated code,
+    which is compiled once for all cycles."""
+    return F.split(F.lit(",".join("NaN" if v is None else repr(float(v)) for v in values or [None])), ",").cast("array<double>")
+
+
 class Raking:
-    """The fitted mixture: a factor per source (a table), and one per (language, topic) pair."""
+    """The fitted mixture: a factor per source (a table), per language (a table and a list) and per topic."""
 
-    def __init__(self, sources: DataFrame, pairs: list[tuple[str, str]], weights: list[float], scale: float,
-                 cycles: int, error: float):
-        self.sources, self.pairs, self.weights = sources, pairs, weights
-        self.scale, self.cycles, self.error = scale, cycles, error
+    def __init__(self, sources: DataFrame, langs: DataFrame, lang_weights: dict[str, float],
+                 topic_weights: dict[str, float], scale: float, cycles: int, error: float, pairs: list[tuple[str, str]]):
+        self.sources, self.langs, self.lang_weights, self.topic_weights = sources, langs, lang_weights, topic_weights
+        self.scale, self.cycles, self.error, self.pairs = scale, cycles, error, pairs
+
+    @property
+    def weights(self) -> list[float]:
+        """The factors of ``pairs``."""
+        return [self.lang_weights[lang] * self.topic_weights[topic] for lang, topic in self.pairs]
 
 
 def rake(tokens: DataFrame, source_targets: dict[str, float] | None = None,
@@ -106,10 +117,12 @@ def rake(tokens: DataFrame, source_targets: dict[str, float] | None = None,
     """Fit the factors to a table (source, lang, topic, n_tokens)."""
     cells = materialize(tokens.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").cast("double").alias("n"))
                         .filter("n > 0"), "mix-cells")
-    by_pair = cells.groupBy("lang", "topic").agg(F.sum("n").alias("n")).orderBy("lang", "topic").limit(MAX_PAIRS + 1)
-    pairs_n = {(r["lang"], r["topic"]): r["n"] for r in by_pair.collect()}
-    if len(pairs_n) > MAX_PAIRS:
-        raise ValueError(f"more than {MAX_PAIRS} pairs of language and topic")
+    numbered = {}
+    for col in ("lang", "topic"):       # one row per category
+        numbered[col] = materialize(cells.select(col).distinct().withColumn(
+            f"{col}_at", F.row_number().over(Window.orderBy(col)) - 1), f"mix-{col}s")
+    named = {col: [r[0] for r in numbered[col].orderBy(f"{col}_at").collect()] for col in numbered}
+    pairs_n = {(r["lang"], r["topic"]): r["n"] for r in cells.groupBy("lang", "topic").agg(F.sum("n").alias("n")).collect()}
     pairs, total = sorted(pairs_n), sum(pairs_n.values())
 
     def margin(at: int) -> dict[str, float]:
@@ -119,9 +132,8 @@ def rake(tokens: DataFrame, source_targets: dict[str, float] | None = None,
         return out
 
     want = [_targets(margin(0), lang_targets, alpha), _targets(margin(1), topic_targets, alpha)]
-    wide = cells.groupBy("source").agg(F.sum("n").alias("all"), *[
-        F.sum(F.when((F.col("lang") == lang) & (F.col("topic") == topic), F.col("n")).otherwise(0.0)).alias(f"n{j}")
-        for j, (lang, topic) in enumerate(pairs)])
+    wide = cells.join(numbered["lang"], "lang").join(numbered["topic"], "topic").groupBy("source").agg(
+        F.sum("n").alias("all"), F.collect_list(F.struct("lang_at", "topic_at", "n")).alias("cells"))
     if source_targets:
         given = F.create_map(*[x for k, v in source_targets.items() for x in (F.lit(k), F.lit(float(v)))])
         raw = F.coalesce(given[F.col("source")], F.lit(0.0))
@@ -131,12 +143,19 @@ def rake(tokens: DataFrame, source_targets: dict[str, float] | None = None,
     raw_total = wide.agg(F.sum("raw")).first()[0] or 1.0
     wide = wide.withColumn("target", F.col("raw") / raw_total)
 
-    def factor(weights: list[float]) -> Column:
-        """The factor of a source that meets its target under the pair weights."""
-        # as one array the weights stay out of the generated code, which is then compiled once for all cycles
-        terms = F.zip_with(F.array(*[F.col(f"n{j}") for j in range(len(pairs))]),
-                           F.array(*[F.lit(w) for w in weights]), lambda n, w: n * w)
-        dot = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+    def of_cell(values: tuple[list, list]) -> Callable[[Column], tuple[Column, Column]]:
+        """The language's and the topic's number of a cell."""
+        langs, topics = _numbers(values[0]), _numbers(values[1])
+        return lambda c: (F.get(langs, c["lang_at"]), F.get(topics, c["topic_at"]))
+
+    def factor(values: tuple[list, list]) -> Column:
+        """The factor of a source that meets its target under the language and topic factors."""
+        look = of_cell(values)
+
+        def part(c: Column) -> Column:
+            lang, topic = look(c)
+            return c["n"] * (lang * topic)
+        dot = F.aggregate(F.transform("cells", part), F.lit(0.0), lambda s, x: s + x)
         return F.when(dot > 0, F.col("target") / dot).otherwise(0.0)
 
     # logarithms of the language and topic factors; categories whose target is 0 have the weight 0
@@ -144,27 +163,43 @@ def rake(tokens: DataFrame, source_targets: dict[str, float] | None = None,
     place = {c: i for i, c in enumerate(live)}
     goal = np.array([want[at][k] for at, k in live])
 
-    def of_pairs(x: np.ndarray) -> list[float | None]:
-        """The sum of a vector over the categories of each pair (None: a category's target is 0)."""
-        return [float(x[place[0, p[0]]] + x[place[1, p[1]]]) if (0, p[0]) in place and (1, p[1]) in place else None
-                for p in pairs]
+    def spread(x: np.ndarray) -> tuple[list, list]:
+        """A vector over the live categories as a list per margin (None: the category's target is 0)."""
+        return tuple([float(x[place[at, k]]) if (at, k) in place else None for k in named[c]] for at, c in enumerate(named))
+
+    def powers(x: np.ndarray) -> tuple[list, list]:
+        return tuple([0.0 if v is None else math.exp(min(v, 350.0)) for v in part] for part in spread(x))
 
     def gain(step: np.ndarray) -> Column:
-        """What a change of the logarithms must cost the sources at least."""
-        best = F.array_max(F.zip_with(
-            F.array(*[F.col(f"n{j}") for j in range(len(pairs))]),
-            F.array(*[F.lit(d).cast("double") for d in of_pairs(step)]), lambda n, d: F.when(n > 0, d)))
-        return F.sum(F.when(F.col("target") > 0, F.col("target") * F.coalesce(best, F.lit(-1e300))))
+        """What a change of the logarithms must cost a source at least."""
+        look = of_cell(spread(step))
+
+        def sum_of(c: Column) -> Column:
+            lang, topic = look(c)
+            return F.when(~F.isnan(lang + topic), lang + topic)
+        best = F.array_max(F.transform("cells", sum_of))
+        return F.when(F.col("target") > 0, F.col("target") * F.coalesce(best, F.lit(-1e300))).otherwise(0.0)
+
+    def sums(x: np.ndarray, step: np.ndarray) -> tuple[list[float], float]:
+        """The sum of source factor x tokens of each pair, and the cost of ``step``: one aggregate."""
+        none = F.lit(-1)
+        parts = F.concat(F.transform("cells", lambda c: F.struct(c["lang_at"].alias("l"), c["topic_at"].alias("t"),
+                                                                 (F.col("a") * c["n"]).alias("v"))),
+                         F.array(F.struct(none.alias("l"), none.alias("t"), gain(step).alias("v"))))
+        got = wide.withColumn("a", factor(powers(x))).select(F.explode(parts).alias("p")) \
+            .groupBy("p.l", "p.t").agg(F.sum("p.v").alias("v")).collect()
+        found = {(r["l"], r["t"]): r["v"] for r in got}
+        where = [{k: i for i, k in enumerate(named[c])} for c in named]
+        return [found[where[0][lg], where[1][tp]] for lg, tp in pairs], found[-1, -1]
 
     cycles, error, errors, impossible = 0, 0.0, [], False
     x, step = np.zeros(len(live)), np.zeros(len(live))
     points: list[tuple[np.ndarray, np.ndarray]] = []
     nearest: tuple[float, np.ndarray] | None = None
     while pairs and cycles < MAX_RAKING:
-        weights = [0.0 if v is None else math.exp(min(v, 700.0)) for v in of_pairs(x)]
-        *rows, cost = wide.withColumn("a", factor(weights)).agg(
-            *[F.sum(F.col("a") * F.col(f"n{j}")).alias(f"s{j}") for j in range(len(pairs))], gain(step)).first()
-        mass = [m * w for m, w in zip(rows, weights)]
+        rows, cost = sums(x, step)
+        by_lang, by_topic = (dict(zip(named[c], part)) for c, part in zip(named, powers(x)))
+        mass = [m * by_lang[lg] * by_topic[tp] for m, (lg, tp) in zip(rows, pairs)]
         # no factors meet the targets if some change of their logarithms gains without bound (Farkas)
         impossible = impossible or float(goal @ step) - (cost or 0.0) > 1e-9 * float(np.abs(step).max(initial=0.0))
         error, step = 0.0, np.zeros(len(live))
@@ -205,19 +240,27 @@ def rake(tokens: DataFrame, source_targets: dict[str, float] | None = None,
         x = x + move
     if cycles == MAX_RAKING and error > TOLERANCE and nearest is not None:
         error, x = nearest
-    weights = [0.0 if v is None else math.exp(min(v, 700.0)) for v in of_pairs(x)] if pairs else []
     if error > TOLERANCE:
         logging.getLogger(__name__).warning("targets unmet by %.3g after %d cycles%s", error, cycles,
                                             ": the cells cannot meet them" if impossible else "")
-    fitted = materialize(wide.withColumn("a", factor(weights) if pairs else F.lit(0.0)), "mix-factors")
+    final = powers(x)
+    fitted = materialize(wide.withColumn("a", factor(final)), "mix-factors")
+    langs = materialize(numbered["lang"].select("lang", F.get(_numbers(final[0]), F.col("lang_at")).alias("b")), "mix-lang-factors")
 
     # scale: tokens of cells whose probability reaches 1 are spent in full, the others in proportion
+    look = of_cell(final)
+
+    def rated(c: Column) -> Column:
+        lang, topic = look(c)
+        return F.struct(c["n"].alias("n"), (F.col("a") * (lang * topic)).alias("w"))
+
+    rates = fitted.select(F.transform("cells", rated).alias("rates"))
     scale, budget = 1.0, keep * total
     for _ in range(MAX_CYCLES if pairs else 0):
-        rate = [F.col("a") * F.lit(w * scale) for w in weights]
-        full = sum((F.when(r >= 1, F.col(f"n{j}")).otherwise(0.0) for j, r in enumerate(rate)), F.lit(0.0))
-        part = sum((F.when(r < 1, F.col(f"n{j}") * r).otherwise(0.0) for j, r in enumerate(rate)), F.lit(0.0))
-        spent, open_ = fitted.agg(F.sum(full), F.sum(part)).first()
+        by = F.lit(scale)
+        full = F.aggregate("rates", F.lit(0.0), lambda s, r: s + F.when(r["w"] * by >= 1, r["n"]).otherwise(0.0))
+        part = F.aggregate("rates", F.lit(0.0), lambda s, r: s + F.when(r["w"] * by < 1, r["n"] * (r["w"] * by)).otherwise(0.0))
+        spent, open_ = rates.agg(F.sum(full), F.sum(part)).first()
         if not open_ or budget <= spent:
             if not spent or budget >= spent:
                 break
@@ -227,7 +270,8 @@ def rake(tokens: DataFrame, source_targets: dict[str, float] | None = None,
         if abs(new - scale) <= 1e-12 * scale:
             break
         scale = new
-    return Raking(fitted.select("source", "a"), pairs, weights, scale, cycles, error)
+    weights = [dict(zip(named[c], part)) for c, part in zip(named, final)]
+    return Raking(fitted.select("source", "a"), langs, *weights, scale, cycles, error, pairs)
 
 
 def with_probability(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -241,14 +285,15 @@ def with_probability(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NONE))
     fit = rake(docs.select(source.alias("source"), lang.alias("lang"), topic_of(text).alias("topic"),
                            token_count(text).alias("n_tokens")), **targets)
-    key, a = fresh([*docs.columns, *names], "source_key__"), fresh([*docs.columns, *names], "factor__")
-    df = docs.withColumns({key: source, topic: topic_of(text), n_tokens: token_count(text)})
+    taken = [*docs.columns, *names]
+    key, a, lang_key, b = (fresh(taken, x) for x in ("source_key__", "factor__", "lang_key__", "lang_factor__"))
+    df = docs.withColumns({key: source, lang_key: lang, topic: topic_of(text), n_tokens: token_count(text)})
+    df = df.join(fit.langs.select(F.col("lang").alias(lang_key), F.col("b").alias(b)), lang_key, "left")
     df = df.join(fit.sources.select(F.col("source").alias(key), F.col("a").alias(a)), key, "left")
-    pair_weight = F.lit(0.0)
-    if fit.pairs:
-        table = F.create_map(*[x for (lg, tp), w in zip(fit.pairs, fit.weights)
-                               for x in (F.lit(f"{lg}\0{tp}"), F.lit(w))])
-        pair_weight = F.coalesce(table[F.concat(lang, F.lit("\0"), F.col(topic))], F.lit(0.0))
+    topic_weight = F.lit(0.0)
+    for tp, w in fit.topic_weights.items():
+        topic_weight = F.when(F.col(topic) == tp, F.lit(w)).otherwise(topic_weight)
+    pair_weight = F.coalesce(F.col(b), F.lit(0.0)) * topic_weight
     p = F.least(F.lit(1.0), F.lit(fit.scale) * F.coalesce(F.col(a), F.lit(0.0)) * pair_weight)
     df = df.withColumn(probability, F.when(F.col(n_tokens) > 0, p).otherwise(0.0))
     df = df.withColumn(sampled, uniform(F.col(f"`{id_col}`"), seed) < F.col(probability))
