@@ -283,13 +283,19 @@ def crawl_metrics(log: DataFrame, batch_size: int = 10, patterns=None) -> DataFr
     ``skipped`` counts the rows whose URL an exclusion pattern (B8) matches;
     they are left out of all other figures."""
     out = F.coalesce(is_excluded(patterns), F.lit(False)) if patterns else F.lit(False)
-    rows = log.select("success", "ts", out.alias("out"))
-    n, ts = F.count_if(~F.col("out")), F.when(~F.col("out"), F.col("ts").cast("timestamp"))
-    agg = rows.agg(F.count_if(~F.col("out") & F.col("success")).alias("successful"),
-                   F.count_if(~F.col("out") & ~F.col("success")).alias("failed"),
-                   F.count_if("out").alias("skipped"),
-                   F.when(n > 0, F.floor((n - 1) / batch_size) + 1).otherwise(F.lit(0)).cast("long").alias("total_batches"),
-                   ((F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6).alias("duration"))
+    # as a grouping key the patterns are tested once a row, not once in every figure
+    per = log.select("success", F.col("ts").cast("timestamp").alias("ts"), out.alias("out")).groupBy("out").agg(
+        F.count("*").alias("n"), F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("bad"),
+        F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+    def total(col: str, keep: Column) -> Column:
+        return F.coalesce(F.sum(F.when(keep, F.col(col))), F.lit(0))
+    kept = ~F.col("out")
+    n = total("n", kept)
+    agg = per.agg(total("ok", kept).alias("successful"), total("bad", kept).alias("failed"), total("n", F.col("out")).alias("skipped"),
+                  F.when(n > 0, F.floor((n - 1) / batch_size) + 1).otherwise(F.lit(0)).cast("long").alias("total_batches"),
+                  ((F.unix_micros(F.max(F.when(kept, F.col("last")))) - F.unix_micros(F.min(F.when(kept, F.col("first"))))) / 1e6)
+                  .alias("duration"))
     return agg.withColumn("urls_per_second", F.when(F.col("duration") > 0,
                                                     (F.col("successful") + F.col("failed")) / F.col("duration"))
                           .otherwise(F.lit(0.0)))
