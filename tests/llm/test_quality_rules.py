@@ -64,6 +64,32 @@ def test_clean_texts_of_other_languages_stay(spark):
     assert {r.doc_id for r in quality_rules(docs).collect() if r.kept} == set(clean)
 
 
+SPAM = "cheap pills buy now cheap watches buy now big sale buy now cheap pills low cost buy now best deal buy now win cash buy now"
+
+
+def language_rows():
+    clean = "Kemarin malam kami berjalan lama di taman tua dan kami bicara soal buku yang kami baca pada musim panas dan lalu pulang ke rumah"
+    russian = "Вчера вечером мы долго гуляли по старому парку и говорили о книгах которые читали летом а потом вернулись домой пить чай с мёдом"
+    langs = ["en", "EN-us", " fr", "de", "spa", "id", "ru", "", None, "x", "en_GB", "english"]
+    return [(10 * k + j, t, lang) for k, lang in enumerate(langs) for j, t in enumerate((SPAM, clean, russian, "", None))]
+
+
+def test_a_covered_language_is_never_exempt(spark):
+    docs = spark.createDataFrame(language_rows(), "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality_rules(docs).collect() if r.kept}
+    assert not kept & {k for k, _, lang in language_rows() if lang in ("en", "EN-us", " fr", "de", "spa", "en_GB")}
+    assert {51, 62, 71, 72, 81, 82} <= kept             # Indonesian and Russian, by their code or without one
+
+
+def test_sql_twin_holds_the_language_rule(spark):
+    docs = spark.createDataFrame(language_rows(), "doc_id long, text string, lang string")
+    con = duck(SMALL)
+    con.register("d", docs.toPandas())
+    sql = queries.ORACLES["op5_quality_rules"].replace("FROM documents", "FROM d")
+    problems, n = compare(quality_rules(docs), con, sql)
+    assert not problems and n == len(language_rows())
+
+
 def test_no_user_function_and_no_shuffle(spark):
     plan = quality_rules(spark.read.parquet(f"{SMALL}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan

@@ -4,9 +4,10 @@ Every measure is a built-in column expression over the words and lines of the wh
 ``(measure, low, high)`` of the threshold table, and the verdict of a document is the conjunction of all rules.
 No user function, no shuffle, no join: the plan is scan -> project.
 
-The stop words are those of four languages; their rule says nothing about others.  It does not apply to a text whose
-language column (if there is one) names another language, that holds letters which none of the four writes, or whose
-short words come back all over the text as function words do (see :func:`uncovered`).
+The stop words are those of four languages; their rule says nothing about others.  A language column that names one of
+the four holds a text to the rule, whatever it looks like, and one that names another language exempts it.  Without
+either, a text is exempt that holds letters which none of the four writes, or whose short words come back all over the
+text as function words do (see :func:`uncovered`).
 
 Defined results: a null text counts as empty (no words); an empty text fails (fewer than ``MIN_WORDS`` words);
 repeated rows are judged one by one; extra columns pass through untouched in :func:`keep_good`.
@@ -37,6 +38,10 @@ STOP_WORDS = {
            "para", "es", "al", "lo", "como", "a"],
 }
 
+#: Codes of the languages of the stop words.
+COVERED = (*STOP_WORDS, "eng", "fra", "fre", "deu", "ger", "spa")
+#: The code at the beginning of a language column.
+LANG_CODE = r"^\s*([a-z]{2,3})([^a-z]|$)"
 #: Letters that the four languages write.
 COVERED_LETTERS = "A-Za-zÀÂÄÆÇÈÉÊËÎÏÑÔÖÙÛÜŸŒÁÍÓÚàâäæçèéêëîïñôöùûüÿœáíóúßẞªº"
 #: Share of other letters, or of words that are later mentions of a short word, from which a text is in another language.
@@ -129,10 +134,10 @@ def uncovered(text: Column, words: Column, lang: Column | None) -> Column:
                        lambda w, i: (i == 0) | (w != F.lower(F.coalesce(F.get(words, i - 1), F.lit("")))))
     back = let(F.filter(changes, lambda w: w.rlike(SHORT)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     out = (letters > 0) & ((other >= MIN_OTHER_LETTERS * letters) | (back >= MIN_REPEATED_SHORT * F.size(words)))
-    if lang is not None:
-        code = F.regexp_extract(F.lower(lang.cast("string")), r"^\s*([a-z]{2,3})\b", 1)
-        out = out | F.coalesce((code != "") & ~code.isin(*STOP_WORDS), F.lit(False))
-    return out
+    if lang is None:
+        return out
+    code = F.regexp_extract(F.lower(F.coalesce(lang.cast("string"), F.lit(""))), LANG_CODE, 1)
+    return F.when(code.isin(*COVERED), F.lit(False)).when(code != "", F.lit(True)).otherwise(out)
 
 
 def measures(docs: DataFrame, text_col: str = "text",

@@ -17,7 +17,8 @@ from trawl.llm.mixing import with_probability
 from trawl.llm.mixing_sql import mixing_sql
 from trawl.llm.permutation_index import nearest
 from trawl.llm.pii import pseudonymize
-from trawl.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, WINDOW, quality_rules
+from trawl.llm.quality_rules import (COVERED, COVERED_LETTERS, LANG_CODE, MAX_REPEAT_PERCENT, MIN_OTHER_LETTERS,
+                                     MIN_REPEATED_SHORT, MIN_WORDS, RULES, SHORT, STOP_WORDS, WINDOW, quality_rules)
 from trawl.llm.quality_net import quality_scores
 from trawl.llm.secrets import find_secrets
 from trawl.llm.simhash import fingerprint_hex, near_duplicates
@@ -37,15 +38,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rules_sql() -> str:
     """The threshold table as a SQL condition over the measures of the CTE ``m``."""
-    parts = [f"{r.measure} >= {r.low}" for r in RULES if r.low is not None]
+    parts = [f"({r.measure} >= {r.low}{' OR uncovered' if r.measure == 'stop_words_per_word' else ''})"
+             for r in RULES if r.low is not None]
     parts += [f"{r.measure} <= {r.high}" for r in RULES if r.high is not None]
     return " AND ".join(parts)
 
 
+_COVERED = ", ".join(f"'{c}'" for c in COVERED)
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))
 ORACLES["op5_quality_rules"] = f"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t,
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract(lower(coalesce(lang, '')), '{LANG_CODE}', 1) AS code,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda w: w <> '') AS words,
          list_filter(string_split(coalesce(text, ''), chr(10)),
                      lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) AS lines
@@ -64,15 +67,24 @@ c AS (
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          len(lines)::BIGINT AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
          length(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs,
-         len(list_filter(words, lambda w: lower(w) IN ({_STOP}))) AS n_stop
+         len(list_filter(words, lambda w: lower(w) IN ({_STOP}))) AS n_stop, code,
+         length(regexp_replace(t, '\\P{{L}}+', '', 'g')) AS letters,
+         length(regexp_replace(t, '\\P{{L}}+|[{COVERED_LETTERS}]+', '', 'g')) AS other,
+         list_transform(words, lambda w: lower(w)) AS low
   FROM d LEFT JOIN rep USING (doc_id)),
+u AS (
+  SELECT *, list_filter(list_filter(low, lambda w, i: i = 1 OR w <> low[i - 1]), lambda w: regexp_matches(w, '{SHORT}')) AS short
+  FROM c),
 m AS (
   SELECT *, word_chars / greatest(n_words, 1) AS mean_word_chars, n_symbols / greatest(n_words, 1) AS symbols_per_word,
          n_bangs / greatest(n_words, 1) AS bangs_per_word, n_stop / greatest(n_words, 1) AS stop_words_per_word,
          n_dup_lines / greatest(n_lines, 1) AS dup_lines_per_line,
          n_repeat_words / greatest(n_words, 1) AS repeat_words_per_word,
-         n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed
-  FROM c)
+         n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+         CASE WHEN code IN ({_COVERED}) THEN false WHEN code <> '' THEN true
+              ELSE letters > 0 AND (other >= {MIN_OTHER_LETTERS} * letters
+                   OR len(short) - len(list_distinct(short)) >= {MIN_REPEATED_SHORT} * n_words) END AS uncovered
+  FROM u)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND {_rules_sql()} AS kept
 FROM m
