@@ -79,9 +79,10 @@ def discover(edges: DataFrame, seeds: DataFrame, base: str | None = None, max_de
         fr = frontier.select("url")
         if fetchable is not None:
             fr = fr.join(fetchable, "url", "left_semi")
-        cand = e.join(fr, e["src"] == fr["url"]).select(F.col("dst").alias("url")).distinct()
-        if base is not None:       # B7 on each distinct target once, not on every edge
-            cand = cand.where(is_same_domain("url", F.lit(base)))
+        cand = e.join(fr, e["src"] == fr["url"]).groupBy(F.col("dst").alias("url")).agg(F.count("*").alias("_n"))
+        if base is not None:       # B7 on each distinct target once; with the count in it, no optimizer moves it to every edge
+            cand = cand.where(F.when(F.col("_n") > 0, is_same_domain("url", F.lit(base))))
+        cand = cand.select("url")
         new = cand.join(disc.select("url"), "url", "left_anti")
         frontier = materialize(new.withColumn("depth", F.lit(depth + 1)), f"bfs-depth{depth + 1}")
         depth += 1
@@ -164,7 +165,7 @@ class Walk:
         hit = self.edges.buckets_of(fr)
         cand = self.edges.read(hit).join(fr, "src").groupBy(F.col("dst").alias("url")).agg((F.min("depth") + 1).alias("depth"))
         if self.base is not None:
-            cand = cand.where(is_same_domain("url", F.lit(self.base)))
+            cand = cand.where(F.when(F.col("depth") >= 0, is_same_domain("url", F.lit(self.base))))     # once a target
         return self._commit(cand.join(self.discovered().select("url"), "url", "left_anti"), done=True)
 
     def run(self, rounds: int | None = None) -> int:
