@@ -75,23 +75,28 @@ class ChunkStore(Versions):
         newest = newest.select(F.col("url").alias("source_id"), F.col(text_col).alias("text")).where(F.col("source_id").isNotNull())
         now = materialize(newest.withColumn("digest", F.sha2("text", 256)), "chunk-texts")
         live = materialize(self.sets(), "chunk-live")
-        changed = now.where("digest is not null").join(live, ["source_id", "digest"], "left_anti")
-        gone = live.select("source_id").join(now.where("digest is not null").select("source_id"), "source_id", "left_anti")
+        keys = now.where("digest is not null").select("source_id", "digest")
+        changed = keys.join(live, ["source_id", "digest"], "left_anti")
+        gone = live.select("source_id").join(keys.select("source_id"), "source_id", "left_anti")
         if not drop_missing:
             gone = gone.join(now.select("source_id"), "source_id", "left_semi")
-        sets = materialize(changed.select("source_id", "digest").unionByName(gone.withColumn("digest", F.lit(None).cast("string")))
+        sets = materialize(changed.unionByName(gone.withColumn("digest", F.lit(None).cast("string")))
                            .withColumn("version", F.lit(0 if last is None else last + 1).cast("long")), "chunk-changes")
         if sets.isEmpty():
             return last
         pieces = {} if last is None else self.manifest(last)
         version = 0 if last is None else last + 1
-        todo, stored = changed, self._stored()
-        if stored is not None:      # an earlier text of the page: its chunks are there
-            todo = todo.join(stored.select("source_id", "digest").distinct(), ["source_id", "digest"], "left_anti")
-        todo = materialize(todo, "chunk-todo")
-        cut = E.embed(self.chunker(todo.select("source_id", "text")), "chunk_text", self.model, self.dim, "vector")
+        stored = self._stored()
+        if stored is None:          # nothing is stored yet: every text is cut where it lies
+            todo, docs = keys, now.where("digest is not null")
+        else:                       # an earlier text of the page: its chunks are there
+            todo = materialize(sets.select("source_id", "digest").where("digest is not null")
+                               .join(stored.select("source_id", "digest").distinct(), ["source_id", "digest"], "left_anti"), "chunk-todo")
+            docs = now.join(todo, ["source_id", "digest"], "left_semi")
+        # digests join the chunks before they are embedded, so no vector moves
+        cut = self.chunker(docs.select("source_id", "text")).join(todo, "source_id")
         folder = self.new_folder("chunks")
-        cut.join(todo.select("source_id", "digest"), "source_id") \
+        E.embed(cut, "chunk_text", self.model, self.dim, "vector") \
             .select("source_id", "digest", "chunk_number", "chunk_text", "vector").write.parquet(self.at(folder))
         pieces[f"chunks-{version:012}"] = (folder, "chunks")
         folder = self.new_folder("sets")
