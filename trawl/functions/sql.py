@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf, udtf
@@ -27,10 +29,21 @@ class ChunkText:
             yield i, c
 
 
+#: Characters of text that are split before their chunks are passed on (a batch may hold 64 MB of texts).
+PIECE_CHARS = 4 << 20
+
+
 @pandas_udf("array<struct<chunk_number:int,chunk_text:string>>")
-def chunk_texts(text: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
-    return pd.Series([[{"chunk_number": i, "chunk_text": c} for i, c in enumerate(split_text(t, int(n), int(o)))]
-                      for t, n, o in zip(text, size, overlap)], dtype=object)
+def chunk_texts(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, sizes, overlaps in batches:
+        out, held = [], 0
+        for t, n, o in zip(texts, sizes, overlaps):
+            out.append([{"chunk_number": i, "chunk_text": c} for i, c in enumerate(split_text(t, int(n), int(o)))])
+            held += len(t or "")
+            if held >= PIECE_CHARS:
+                yield pd.Series(out, dtype=object)
+                out, held = [], 0
+        yield pd.Series(out, dtype=object)
 
 
 COSINE_SQL = """
