@@ -2,7 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of the input's files that go into one partition of a spread table.
+SPREAD_BYTES = 16 << 20
+
+
+def file_bytes(spark: SparkSession, files: list[str]) -> int:
+    """The size of files together; their content is not read."""
+    if not files:
+        return 0
+    paths = [re.sub(r"([\\\[\]{}*?,])", r"\\\1", unquote(f)) for f in files]
+    return spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0] or 0
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -11,10 +26,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
     A table of at least ``min_partitions`` files is returned untouched; an
     input of fewer files (one small file, say) is spread round-robin, which
-    costs one shuffle of that input.  The file list is part of the plan: asking
-    for it runs no job and changes no setting.
+    costs one shuffle of that input, over as many partitions as keep each at
+    ``SPREAD_BYTES`` of the files.  The file list is part of the plan; asking
+    the sizes of those few files is a listing.
     """
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= want:
+    files = df.inputFiles()
+    if len(files) >= want:
         return df
-    return df.repartition(want)
+    return df.repartition(max(want, -(-file_bytes(df.sparkSession, files) // SPREAD_BYTES)))
